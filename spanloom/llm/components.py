@@ -1,0 +1,39 @@
+"""Connected components by alternating large-star and small-star rounds, all of them joins and aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanloom.llm.common import stage
+
+
+def _print(edges: DataFrame) -> tuple:
+    """A fingerprint of an edge set."""
+    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))), F.lit(0))).first()
+    return tuple(row)
+
+
+def _hang(pairs: DataFrame, least: DataFrame, on: str, node: str) -> DataFrame:
+    return pairs.join(least, on).where(F.col(node) != F.col("m")).select(F.col(node).alias("u"), F.col("m").alias("v"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (u, v), integers, any direction, repeats and loops allowed -> (node, component): one row per node that has an edge to
+    another; component is its smallest reachable node. Each round is written to the shared folder; log-many rounds are needed."""
+    ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = stage(ordered, "edges")
+    seen = _print(now)
+    while seen[0]:
+        # Large star: the larger neighbours of a node hang on the least of its neighbourhood.
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = stage(_hang(both.where("v > u"), least, "u", "v").distinct(), "large-star")
+        # Small star: a node and its smaller neighbours hang on the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _hang(large, least, "u", "v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        now = stage(small, "small-star")
+        before, seen = seen, _print(now)
+        if seen == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
