@@ -25,9 +25,11 @@ class DigestIndex:
         self.extreme = {"min": F.min, "max": F.max}[keep]
         self.path = new_path(spark, "digest-index")
         self.runs: list[str] = []
+        self.written = 0
 
     def _write(self, runs: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}-{len(self.runs)}"
+        self.written += 1
+        path = f"{self.path}/{name}-{self.written}"
         (runs.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000").parquet(path))
         self.runs.append(path)
         return path
