@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stage, table
 from spanloom.llm.components import components
 
-#: Most rows of a leaf that one block holds.
-BLOCK = 1024
+#: Most residents of a leaf that one block holds.
+BLOCK = 2048
 _BASE = 40  # distances within a half, with room for the steps: 0 to 33
 
 
@@ -63,85 +63,96 @@ def tree_levels(n: int) -> int:
     return max(4, math.ceil(math.log10(max(n, 1) / 5000)))
 
 
-def _leaves(fp: Column, levels: int) -> Column:
-    """array<struct<leaf, asks>>: the home leaf in each tree, then the boundary leaves that this fingerprint asks."""
-    def entry(leaf: Column, asks: bool) -> Column:
-        return F.struct(leaf.cast("long").alias("leaf"), F.lit(asks).alias("asks"))
-
-    def of_tree(half: int) -> list[Column]:
+def _trees(fp: Column, levels: int) -> list[tuple[Column, Column]]:
+    """For each tree: the home leaf, and the array of boundary leaves that this fingerprint asks (null where its partner asks instead)."""
+    out = []
+    for half in (0, 1):
         block = F.shiftrightunsigned(fp, 32 * half).bitwiseAND((1 << 32) - 1)
         home = F.lit(half * _BASE**levels)
         for j, v in enumerate(vantage_points(half, levels)):
             home = home + (F.bit_count(block.bitwiseXOR(F.lit(v))) + 1) * F.lit(_BASE**j)
-        steps = [sum(e * _BASE**j for j, e in enumerate(es)) for es in product((-1, 1), repeat=levels)]
-        abroad = F.transform(F.array(*map(F.lit, steps)), lambda s: entry(home + s, True))
-        return [F.array(entry(home, False)), F.when(F.bit_count(block) % 2 == 0, abroad).otherwise(F.array().cast("array<struct<leaf:bigint,asks:boolean>>"))]
-
-    return F.concat(*of_tree(0), *of_tree(1))
-
-
-def _linked(ids: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links between asking rows and resident rows, and among residents."""
-    home = np.flatnonzero(~asks)
-    if len(ids) < 2 or not len(home):
-        return ids[:0], ids[:0]
-    rows, cols = [], []
-    for at in range(0, len(ids), 512):
-        near = np.bitwise_count(fps[at : at + 512, None] ^ fps[None, home]) <= radius
-        r, c = np.nonzero(near)
-        rows.append(r + at)
-        cols.append(home[c])
-    a, b = np.concatenate(rows), np.concatenate(cols)
-    a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
-    if not len(a):
-        return ids[:0], ids[:0]
-    label, old = ids.copy(), None
-    while old is None or (label != old).any():
-        old = label.copy()
-        np.minimum.at(label, a, old[b])
-        np.minimum.at(label, b, old[a])
-    own = label != ids
-    return ids[own], label[own]
+        steps = F.array(*(F.lit(sum(e * _BASE**j for j, e in enumerate(es))) for es in product((-1, 1), repeat=levels)))
+        out.append((home.cast("long"), F.when(F.bit_count(block) % 2 == 0, _moved(steps, home))))
+    return out
+
+
+def _moved(steps: Column, home: Column) -> Column:
+    return F.transform(steps, lambda s: (home + s).cast("long"))
+
+
+def _stars(rows: np.ndarray, homes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that join whatever is within radius among rows and homes: a star per component of each slab of rows, not all pairs."""
+    us, vs = [rows[:0]], [rows[:0]]
+    for at in range(0, len(rows), 512):
+        slab = rows[at : at + 512]
+        near = np.bitwise_count(slab.view(np.uint64)[:, None] ^ homes.view(np.uint64)[None]) <= radius
+        r, c = (x.astype(np.int32) for x in np.nonzero(near)) if near.sum() <= 8 * sum(near.shape) else (None, None)
+        if r is not None:
+            other = slab[r] != homes[c]
+            us.append(np.maximum(slab[r], homes[c])[other])
+            vs.append(np.minimum(slab[r], homes[c])[other])
+            continue
+        top, low, label, old = np.iinfo(np.int64).max, slab, homes, None
+        while old is None or (label != old).any():
+            old = label
+            low = np.minimum(low, np.where(near, label[None], top).min(axis=1))
+            label = np.minimum(label, np.where(near, low[:, None], top).min(axis=0))
+        for node, least in ((slab, low), (homes, label)):
+            us.append(node[node != least])
+            vs.append(least[node != least])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _search(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by leaf and block; a block's rows are gathered before it is searched."""
-    rest = None
+    """Rows come sorted by key: of each block the residents, then those that ask, which stream past them."""
+    block, homes = None, np.empty(0, np.int64)
     for batch in batches:
-        part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        key = part[["leaf", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(part) else np.array([0])
-        yield _search_blocks(part.iloc[: starts[-1]], starts[:-1], radius)
-        rest = part.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield _search_blocks(rest, np.array([0]), radius)
-
-
-def _search_blocks(part: pd.DataFrame, starts: np.ndarray, radius: int) -> pd.DataFrame:
-    ids, fps, asks = part["id"].to_numpy(), part["fp"].to_numpy().view(np.uint64), part["asks"].to_numpy(bool)
-    out = [_linked(ids[lo:hi], fps[lo:hi], asks[lo:hi], radius) for lo, hi in zip(starts, [*starts[1:], len(part)], strict=True) if hi > lo + 1]
-    u, v = (np.concatenate([o[k] for o in out]) if out else ids[:0] for k in (0, 1))
-    return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+        key, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        found = []
+        for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
+            own, rows = key[lo] >> 1, fps[lo:hi]
+            if own != block:
+                block, homes = own, rows[:0]
+            if key[lo] & 1:
+                if len(homes):
+                    found.append(_stars(rows, homes, radius))
+                continue
+            homes = np.concatenate([homes, rows])
+            if len(homes) > 1:
+                found.append(_stars(rows, homes, radius))
+        u, v = (np.concatenate([f[k] for f in found]) if found else fps[:0] for k in (0, 1))
+        yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
 
 def near_links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """points (id, fp), fp distinct -> links (u, v) whose components are those of all pairs within radius (3 at most)."""
+    """points (fp), distinct -> links (u, v) between fingerprints whose components are those of all pairs within radius (3 at most)."""
     if not 0 <= radius <= 3:
         raise ValueError("two halves and steps of one bit cover radius 0 to 3")
     levels = tree_levels(points.count())
-    entries = points.select("id", "fp", F.explode(_leaves(F.col("fp"), levels)).alias("e")).select("id", "fp", "e.leaf", "e.asks")
-    crowded = entries.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    # A crowded leaf is cut into parts, and each pair of parts is a block: no task holds more than two parts of a leaf at a time.
-    blocks = (
-        entries.join(crowded, "leaf", "left")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-        .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp", "asks")
-    )
-    laid = blocks.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
+    fp = F.col("fp")
+    trees = _trees(fp, levels)
+    residents = points.select("fp", F.explode(F.array(*(home for home, _ in trees))).alias("leaf"))
+    crowded = stage(residents.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "crowded-leaves")
+    none = F.array().cast("array<bigint>")
+    asked = points.select("fp", F.explode(F.concat(*(F.coalesce(abroad, none) for _, abroad in trees))).alias("leaf"))
+    # Key: leaf, part of the residents, part of those that ask, and whether the row asks.
+    key = lambda i, j, asks: F.col("leaf") * (1 << 25) + i * (1 << 13) + j * 2 + asks
+    n = crowded.count()
+    if not n:
+        rows = residents.select(key(F.lit(0), F.lit(0), F.lit(0)).alias("key"), "fp").unionByName(asked.select(key(F.lit(0), F.lit(0), F.lit(1)).alias("key"), "fp"))
+    else:
+        # Residents of a crowded leaf are cut into parts; each part meets each part of the residents and of those that ask.
+        parts = crowded.select("leaf", F.least(F.ceil(F.col("n") / block), F.lit(1 << 12)).cast("int").alias("parts"))
+        parts = F.broadcast(parts) if n <= 10_000 else parts
+        own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("long")
+        every = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        here = residents.join(parts, "leaf", "left").withColumn("own", own)
+        there = here.where("parts > 1").select("leaf", "fp", "parts", "own").unionByName(asked.join(parts, "leaf", "left").withColumn("own", own))
+        here = here.withColumn("other", F.explode(every)).select(key(F.col("own"), F.col("other"), F.lit(0)).alias("key"), "fp")
+        there = there.withColumn("other", F.explode(every)).select(key(F.col("other"), F.col("own"), F.lit(1)).alias("key"), "fp")
+        rows = here.unionByName(there)
+    laid = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return laid.mapInPandas(lambda batches: _search(batches, radius), "u long, v long")
 
 
@@ -153,14 +164,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint reaches, null if there is none. An empty table gives an empty result; other columns are ignored.
     """
     marked = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = stage(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps")
+    reps = stage(marked.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps")
     # One identifier can stand for several texts: what its fingerprints link is linked too.
-    shared = marked.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b AND id IS NOT NULL").select("id")
-    twins = marked.join(shared, "id").join(reps, "fp").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    links = near_links(reps.select(F.col("rep").alias("id"), "fp"), radius)
-    comp = components(links.unionByName(twins))
-    named = reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    shared = marked.groupBy("id").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w AND id IS NOT NULL")
+    twins = marked.join(shared, "id").select(F.col("fp").alias("u"), "v")
+    comp = components(near_links(reps.select("fp"), radius).unionByName(twins))
+    linked = reps.join(comp, reps["fp"] == comp["node"]).select("fp", "rep", "component")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = linked.join(least, "component").select("fp", "component_id")
+    known = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
