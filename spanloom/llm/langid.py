@@ -24,8 +24,9 @@ from spanloom.llm.common import stage, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Expected number of labelled texts per language that the piece probabilities are fitted on; texts are picked by a hash of their id.
 SAMPLE_DOCS = 400
-#: A worker forgets its words when it knows so many.
-CACHED_WORDS = 300_000
+#: A worker forgets its words when it knows so many; it scores texts together until they have BATCH words.
+CACHED_WORDS = 400_000
+BATCH = 100_000
 _CUT, _LONGEST = 32, 16
 _MARK = "▁"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -48,9 +49,14 @@ class Pieces:
     numbers: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        grown = [self._hashes(codes(n)[None, :], len(n))[0, 0] for n in self.names]
-        order = np.argsort(np.array(grown, np.uint64))
-        self.keys, self.numbers = np.array(grown, np.uint64)[order], order.astype(np.int32)
+        hashes = np.zeros(len(self.names), np.uint64)
+        lengths = np.array([len(n) for n in self.names])
+        for n in np.unique(lengths):
+            where = np.flatnonzero(lengths == n)
+            *_, last = self._hashes(codes("".join(self.names[i] for i in where)).reshape(len(where), n), n)
+            hashes[where] = last[:, 0]
+        order = np.argsort(hashes)
+        self.keys, self.numbers = hashes[order], order.astype(np.int32)
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -61,22 +67,22 @@ class Pieces:
         return cls(sorted({p for p in plain if len(p) <= _LONGEST and p == p.lower()}))
 
     @staticmethod
-    def _hashes(grid: np.ndarray, length: int) -> np.ndarray:
-        """Hash of each run of ``length`` codes in each row."""
-        out = np.zeros((grid.shape[0], grid.shape[1] - length + 1), np.uint64)
-        for k in range(length):
-            out = (out ^ grid[:, k : k + out.shape[1]]) * _PRIME
-            out ^= out >> np.uint64(29)
-        return out
+    def _hashes(chars: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """For each run length up to longest: hash of each run in each row. A run's hash grows from that of the run one shorter."""
+        h = np.zeros_like(chars)
+        for n in range(min(longest, chars.shape[1])):
+            h = (h[:, : chars.shape[1] - n] ^ chars[:, n:]) * _PRIME
+            h ^= h >> np.uint64(29)
+            yield h
 
     def grid(self, words: list[str]) -> list[np.ndarray]:
-        """For words of one length: piece numbers of all runs, by run length; -1 where a run is no piece."""
+        """For words of one length: piece numbers of all runs, by run length; one past the last stands for an unknown character, -1 for any other
+        run that is no piece."""
         chars = codes("".join(words)).reshape(len(words), -1)
         found = []
-        for length in range(1, min(_LONGEST, chars.shape[1]) + 1):
-            h = self._hashes(chars, length)
+        for h in self._hashes(chars, _LONGEST):
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found.append(np.where(self.keys[at] == h, self.numbers[at], len(self.names) if length == 1 else -1))
+            found.append(np.where(self.keys[at] == h, self.numbers[at], -1 if found else len(self.names)))
         return found
 
 
@@ -112,11 +118,13 @@ def expected(found: list[np.ndarray], probs: np.ndarray, times: np.ndarray) -> n
 
 
 def by_length(words: list[str]) -> Iterator[np.ndarray]:
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        where = np.flatnonzero(lengths == n)
-        for at in range(0, len(where), 4096):
-            yield where[at : at + 4096]
+    """Places of words of equal lengths, so many at a time that their arrays stay in the processor's cache."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    ends = np.searchsorted(lengths[order], np.unique(lengths), side="right")
+    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+        for at in range(lo, hi, 4096):
+            yield order[at : min(at + 4096, hi)]
 
 
 @dataclass
@@ -137,19 +145,22 @@ class Model:
         return out
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
-        """(texts, languages): log probability of each list of words."""
+        """(texts, languages): log probability of each list of words. Words of many texts at a time keep the arrays long."""
         out = np.zeros((len(texts), len(self.languages)))
-        for t, words in enumerate(texts):
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                new = sorted({w for w in part if w not in self.known})
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known.clear()
-                    new = sorted(set(part))
-                if new:
-                    self.table[len(self.known) : len(self.known) + len(new)] = self.log_words(new)
-                    self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-                out[t] += self.table[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        flat = [w for t in texts for w in t]
+        for at in range(0, len(flat), 2 * BATCH):
+            part = flat[at : at + 2 * BATCH]
+            new = list({w for w in part if w not in self.known})
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known.clear()
+                new = list(set(part))
+            if new:
+                self.table[len(self.known) : len(self.known) + len(new)] = self.log_words(new)
+                self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            rows = self.table[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))]
+            starts = np.flatnonzero(np.r_[True, np.diff(owner[at : at + len(part)]) > 0])
+            out[owner[at : at + len(part)][starts]] += np.add.reduceat(rows, starts, axis=0)
         return out
 
 
@@ -208,13 +219,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = Model(*sent.value)
         for texts in batches:
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            open_rows: list[int] = []
+            words: list[list[str]] = []
+            size = 0
             for i, text in enumerate(texts):
-                if text is None or not model.languages or not any(map(str.isalpha, text)):
-                    continue
-                logs = model.score([words_of(text)])[0]
-                odds = np.exp(logs - logs.max())
-                best = int(odds.argmax())
-                langs[i], scores[i] = model.languages[best], odds[best] / odds.sum()
+                if text is not None and model.languages and any(map(str.isalpha, text)):
+                    open_rows.append(i)
+                    words.append(words_of(text))
+                    size += len(words[-1])
+                if size >= BATCH or (open_rows and i == len(texts) - 1):
+                    logs = model.score(words)
+                    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+                    best = odds.argmax(axis=1)
+                    scores[open_rows] = odds.max(axis=1) / odds.sum(axis=1)
+                    for row, k in zip(open_rows, best, strict=True):
+                        langs[row] = model.languages[k]
+                    open_rows, words, size = [], [], 0
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     return docs.withColumn("_guess", guess(F.col(text_col))).withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
