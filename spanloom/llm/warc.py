@@ -129,7 +129,9 @@ def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captures(read_records(spark, path, with_block=False)).select("capture_id", "main", F.col("metadata")[0]["page_id"].alias("page_id"))
     # A revisit names its response's record; the page of that record is the page it refers to.
     target = found.where("main.warc_type = 'response'").select(F.col("capture_id").alias("response_id"), F.col("page_id").alias("refers_to"))
-    joined = found.join(target, F.col("main.refers_to") == F.col("response_id"), "left")
+    revisits = found.where("main.warc_type = 'revisit'").join(target, F.col("main.refers_to") == F.col("response_id"), "left")
+    rest = found.where("NOT main.warc_type <=> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    joined = revisits.select(*rest.columns).unionByName(rest)  # responses, which refer to nothing, aren't joined
     return joined.select("page_id", "main.payload_bytes", "main.payload_digest", F.col("main.warc_type").alias("record_type"), "refers_to")
 
 
