@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import clusters, elementary, introns, islands
+from spanloom.sources.stages import stage
 
 # Category numbers and names.
 SAME, OPPOSITE, INTRONIC_SAME, INTRONIC_OPPOSITE, INTRONIC_AMBIGUOUS, INTERLEAVING, INTERGENIC = range(7)
@@ -56,11 +57,11 @@ def resolve_once(exon_rows: DataFrame) -> DataFrame:
 def resolve_strands(exon_rows: DataFrame) -> DataFrame:
     """(tid, resolved): as resolve_once; what it resolves counts as evidence for clusters (touching ones merge) of the nodes that stay open, and a
     transcript takes the strand of most of its clustered bases (ties are +)."""
-    first = resolve_once(exon_rows)
+    first = stage(resolve_once(exon_rows), "resolved")
     now = exon_rows.join(first, "tid").withColumn("strand", F.col("resolved")).drop("resolved")
-    rows = nodes(now)
+    rows = stage(nodes(now), "nodes")
     open_nodes = rows.where("strand = '.'").select(*LOCUS, "s", "e").distinct()
-    placed = islands(open_nodes, LOCUS, out="cluster")
+    placed = stage(islands(open_nodes, LOCUS, out="cluster"), "open-nodes")
     stranded = rows.where("strand <> '.'")
     scored = stranded.where("NOT ref").groupBy(*LOCUS, "s", "e").agg(F.sum(F.when(F.col("strand") == "+", F.col("score"))).alias("p"), F.sum(F.when(F.col("strand") == "-", F.col("score"))).alias("m"))
     refs = stranded.where("ref").groupBy(*LOCUS, "s", "e").agg(F.max(F.when(F.col("strand") == "+", 1)).alias("rp"), F.max(F.when(F.col("strand") == "-", 1)).alias("rm"))
@@ -137,10 +138,11 @@ def annotate(tx: DataFrame, exon_rows: DataFrame, resolved: DataFrame | None = N
     without tests (on the same strand), and the other fields stay. Ties go to the smaller ref_id. tx and exon_rows: chrom, locus, tid, strand, s, e, ref, tst;
     references must be stranded.
     """
-    resolved = resolve_once(exon_rows) if resolved is None else resolved
-    pairs = matches(exon_rows, resolved)
+    # Each part is used several times below: written once, so that neither plans nor work multiply.
+    resolved = stage(resolve_once(exon_rows), "resolved") if resolved is None else resolved
+    pairs = stage(matches(exon_rows, resolved), "pairs")
     asks = tx.where("NOT ref").select("tid", "strand")
-    context = intron_context(exon_rows, tx)
+    context = stage(intron_context(exon_rows, tx), "intron-context")
 
     def ladder(p: DataFrame, opposite: DataFrame, tag: str) -> DataFrame:
         picks = {"i": _best(p.where("same AND shared_introns > 0"), True), "c": _best(p.where("same"), False), "o": _best(opposite.where("NOT same"), False)}

@@ -10,6 +10,7 @@ from spanloom.operators.annotate import LOCUS, nodes
 from spanloom.operators.filters import strands_agree
 from spanloom.operators.intervals import introns
 from spanloom.operators.joins import nearest, splicing_patterns
+from spanloom.sources.stages import stage
 
 # Comparison categories, in the order in which choose_best prefers the last seven.
 PREFERENCE = ("intronic_same_strand", "intronic_opp_strand", "interleaving_same_strand", "interleaving_opp_strand", "encompassing_same_strand", "encompassing_opp_strand", "intergenic")
@@ -23,7 +24,7 @@ def locus_matches(tx: DataFrame, exon_rows: DataFrame) -> DataFrame:
     Nodes are segments; a node inside or across an intron of the reference counts once per such intron, as hits. tx: chrom, locus, tid,
     strand, ref, gene, length, n_exons, s, e; exon_rows: chrom, locus, tid, strand, ref, s, e.
     """
-    seg = nodes(exon_rows.select(*LOCUS, "tid", "strand", "ref", "s", "e"))
+    seg = stage(nodes(exon_rows.select(*LOCUS, "tid", "strand", "ref", "s", "e")), "nodes")
     t = seg.where("NOT ref").select(*LOCUS, "s", "e", "tid", "strand")
     r = seg.where("ref").select(*LOCUS, "s", "e", F.col("tid").alias("ref_id"), F.col("strand").alias("r_strand"))
     n = F.col("e") - F.col("s")
@@ -72,6 +73,7 @@ def choose_best(matches: DataFrame, *by: str) -> DataFrame:
 def consensus(matches: DataFrame) -> DataFrame:
     """(tid, category, ref_ids, ref_genes, shared_introns, same_bp, splicing): same-strand matches are merged over genes (the best of each, in genome
     order, reversed if any is on -), read_through for more than one gene; without any, the best match alone."""
+    matches = stage(matches, "matches")  # read twice below
     same = choose_best(matches.where("category = 'same_strand'"), "tid", "ref_gene")
     entry = F.struct("ref_chrom", "ref_s", "ref_e", "ref_id", "ref_gene")
     merged = same.groupBy("tid").agg(F.array_sort(F.collect_list(entry)).alias("hits"), F.max(F.col("ref_strand") == "-").alias("minus"), F.sum("shared_introns").alias("shared_introns"), F.sum("same_bp").alias("same_bp"), F.max("splicing").alias("splicing"))
@@ -184,9 +186,9 @@ def best_in_both_directions(exon_rows: DataFrame) -> DataFrame:
     return out
 
 
-def merge_genes(exon_rows: DataFrame, stage) -> DataFrame:
+def merge_genes(exon_rows: DataFrame) -> DataFrame:
     """(tid, gene_id, gene): transcripts whose exons share a cluster (chromosome and strand, touching merges), transitively, are one gene; gene ids
-    number the genes by place. stage writes a DataFrame to where a lost executor can't take it and reads it back."""
+    number the genes by place. Each round of labels is written to the shared folder."""
     from spanloom.operators.filters import global_rank
     from spanloom.operators.intervals import islands
 

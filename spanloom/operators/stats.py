@@ -100,10 +100,9 @@ def weighted_means(nodes: DataFrame, by: str, values: Sequence[str]) -> DataFram
     return nodes.groupBy(by).agg(*((F.sum(F.col(v) * length) / F.sum(length)).alias(f"mean_{v}") for v in values))
 
 
-def csv_values(df: DataFrame, by: str, csv: str) -> Column:
-    """Distinct values of comma-separated texts in a group, sorted, joined again; NA without any."""
-    del df, by
-    values = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split(csv, ",")))))
+def csv_values(csv: str) -> Column:
+    """Aggregate: distinct values of comma-separated texts, sorted, joined again; NA without any."""
+    values = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(csv, ",")))))
     return F.when(F.size(values) == 0, "NA").otherwise(F.array_join(values, ","))
 
 

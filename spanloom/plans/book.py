@@ -42,6 +42,15 @@ class View:
         """Exons with loci, exploded from the transcripts: no join back."""
         return self.lo.select("chrom", "tid", "gene", "strand", "lib", "sample", "score", "ref", "tst", "locus", F.explode("exons").alias("x")).select("*", "x.s", "x.e").drop("x")
 
+    @cached_property
+    def loci(self) -> tuple[DataFrame, DataFrame]:
+        """lo and lex, written once: for queries that read them many times."""
+        from spanloom.sources.stages import stage
+
+        self.__dict__["lo"] = stage(self.lo, "transcripts")
+        self.__dict__["lex"] = stage(self.lex, "exons")
+        return self.lo, self.lex
+
     @cached_property
     def sizes(self) -> DataFrame:
         """Chromosome sizes: a bit more than what is used."""

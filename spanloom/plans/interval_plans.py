@@ -31,7 +31,7 @@ def boundaries(v: View) -> DataFrame:
 SEGMENTS = """
 b AS (SELECT DISTINCT chrom, locus, unnest([s, e]) AS pos FROM lex),
 c AS (SELECT chrom, locus, pos AS seg_s, lead(pos) OVER (PARTITION BY chrom, locus ORDER BY pos) AS seg_e FROM b),
-seg AS (SELECT lex.*, seg_s, seg_e FROM lex JOIN c USING (chrom, locus) WHERE seg_s >= s AND seg_e <= e)"""
+seg AS MATERIALIZED (SELECT lex.*, seg_s, seg_e FROM lex JOIN c USING (chrom, locus) WHERE seg_s >= s AND seg_e <= e)"""
 
 
 @query("iv4_segments", SEGMENTS + " SELECT tid, s, e, seg_s, seg_e FROM seg")
@@ -148,9 +148,8 @@ i AS (SELECT root, printf('source%011d', row_number() OVER (ORDER BY place, root
 SELECT tid, gene_id, gene FROM t JOIN i USING (root) JOIN (SELECT tid, gene FROM tx) AS x USING (tid)""")
 def merged_genes(v: View) -> DataFrame:
     from spanloom.operators.compare import merge_genes
-    from spanloom.sources.stages import stage
 
-    return merge_genes(v.ex, stage)
+    return merge_genes(v.ex)
 
 
 @query("iv15_to_genome", """

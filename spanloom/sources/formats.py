@@ -93,9 +93,8 @@ def parse_genepred(lines: DataFrame) -> DataFrame:
 
 def genepred_line(tx_cols: Sequence[Column], exons: Column) -> Column:
     """name, chrom, strand, s, e, coding start, coding end, then exon count and lists."""
-    lists = [F.concat(F.array_join(F.transform(exons, lambda x, k=k: x[k].cast("string")), ","), F.lit(",")) for k in ("s",)]
-    ends = F.concat(F.array_join(F.transform(exons, lambda x: x["e"].cast("string")), ","), F.lit(","))
-    return F.concat_ws("\t", *(c.cast("string") for c in (*tx_cols, F.size(exons), *lists, ends)))
+    listed = lambda field: F.concat(F.array_join(F.transform(exons, lambda x: x[field].cast("string")), ","), F.lit(","))
+    return F.concat_ws("\t", *(c.cast("string") for c in (*tx_cols, F.size(exons), listed("s"), listed("e"))))
 
 
 def bedgraph_lines(nodes: DataFrame, strand: str) -> DataFrame:
