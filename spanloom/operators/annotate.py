@@ -74,17 +74,17 @@ def resolve_strands(exon_rows: DataFrame) -> DataFrame:
     return first.join(late, "tid", "left").select("tid", F.when(F.col("resolved") == ".", F.coalesce("late", F.lit("."))).otherwise(F.col("resolved")).alias("resolved"))
 
 
-def node_means(exon_rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(tid, mean_score, mean_recurrence) of non-reference transcripts: per node and resolved strand, the mean score of its transcripts and the number of
-    distinct samples, weighted by length."""
+def node_means(exon_rows: DataFrame, resolved: DataFrame, values: tuple[str, ...] = ("score",)) -> DataFrame:
+    """(tid, mean_<value>.., mean_recurrence) of non-reference transcripts: per node and resolved strand, the sums of the values over its transcripts and
+    the number of distinct samples, weighted by length."""
     rows = nodes(exon_rows.where("NOT ref").join(resolved, "tid").withColumn("strand", F.col("resolved")).drop("resolved"))
     key = [*LOCUS, "s", "e", "strand"]
     # Distinct samples in two steps: a node's samples, then their number.
-    per_sample = rows.groupBy(*key, "sample").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    stats = per_sample.groupBy(*key).agg((F.sum("score") / F.sum("n")).alias("score_mean"), F.count(F.lit(1)).alias("samples"))
+    per_sample = rows.groupBy(*key, "sample").agg(*(F.sum(v).alias(v) for v in values))
+    stats = per_sample.groupBy(*key).agg(*(F.sum(v).alias(f"node_{v}") for v in values), F.count(F.lit(1)).alias("node_recurrence"))
     n = F.col("e") - F.col("s")
     met = rows.select(*key, "tid").join(stats, key)
-    return met.groupBy("tid").agg((F.sum(F.col("score_mean") * n) / F.sum(n)).alias("mean_score"), (F.sum(F.col("samples") * n) / F.sum(n)).alias("mean_recurrence"))
+    return met.groupBy("tid").agg(*((F.sum(F.col(f"node_{v}") * n) / F.sum(n)).alias(f"mean_{v}") for v in (*values, "recurrence")))
 
 
 def matches(exon_rows: DataFrame, resolved: DataFrame) -> DataFrame:

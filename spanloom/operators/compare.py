@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.annotate import LOCUS, nodes
-from spanloom.operators.filters import strands_agree
-from spanloom.operators.intervals import introns
-from spanloom.operators.joins import nearest, splicing_patterns
+from spanloom.operators.filters import global_rank, strands_agree
+from spanloom.operators.intervals import introns, islands
+from spanloom.operators.joins import nearest, overlap_join, splicing_patterns
 from spanloom.sources.stages import stage
 
 # Comparison categories, in the order in which choose_best prefers the last seven.
@@ -84,20 +84,42 @@ def consensus(matches: DataFrame) -> DataFrame:
     return first.unionByName(rest.select("tid", "category", F.col("ref_id").cast("string").alias("ref_ids"), F.col("ref_gene").alias("ref_genes"), "shared_introns", "same_bp", "splicing"))
 
 
-def nearest_reference(tx: DataFrame, max_dist: int = NEAR) -> DataFrame:
-    """(tid, side, ref_locus, dist) of non-reference transcripts: the nearest locus of references wholly to the left and to the right."""
-    loci = tx.where("ref").groupBy("chrom", "locus").agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("ref_locus", F.concat_ws(":", "chrom", F.col("locus").cast("string")))
-    asks = tx.where("NOT ref").select("chrom", "tid", "s", "e")
-    sides = [nearest(asks, loci, "chrom", side, max_dist, "tid", "ref_locus").select("tid", F.lit(side).alias("side"), "ref_locus", "dist") for side in ("left", "right")]
-    return sides[0].unionByName(sides[1])
+def reference_loci(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Loci of the references alone: (chrom, ref_locus, s, e), and their members (ref_locus, ref_id, r_strand, r_s, r_e)."""
+    placed = islands(tx.where("ref").select("chrom", "tid", "strand", "s", "e"), ["chrom"], order=["tid"], out="no")
+    placed = placed.withColumn("ref_locus", F.concat_ws(":", "chrom", F.col("no").cast("string")))
+    loci = placed.groupBy("chrom", "ref_locus").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return loci, placed.select("ref_locus", F.col("tid").alias("ref_id"), F.col("strand").alias("r_strand"), F.col("s").alias("r_s"), F.col("e").alias("r_e"))
 
 
-def intergenic_matches(tx: DataFrame, max_dist: int = NEAR) -> DataFrame:
-    """(tid, side, ref_id, distance): the members of the nearest reference loci, each with its own distance."""
-    near = nearest_reference(tx, max_dist)
-    members = tx.where("ref").select(F.concat_ws(":", "chrom", F.col("locus").cast("string")).alias("ref_locus"), F.col("tid").alias("ref_id"), F.col("s").alias("r_s"), F.col("e").alias("r_e"))
-    asks = tx.where("NOT ref").select("tid", "s", "e")
-    return near.join(members, "ref_locus").join(asks, "tid").select("tid", "side", "ref_id", F.when(F.col("side") == "left", F.col("s") - F.col("r_e")).otherwise(F.col("r_s") - F.col("e")).alias("distance"))
+def intergenic_matches(asks: DataFrame, tx: DataFrame, max_dist: int = NEAR) -> DataFrame:
+    """(tid, side, ref_id, category, distance) of asks (chrom, tid, strand, s, e): members of the reference loci that overlap the span (side within,
+    encompassing, distance 0), and of the nearest ones on each side (intergenic, each member's own distance)."""
+    loci, members = reference_loci(tx)
+    loci, members = stage(loci, "reference-loci"), stage(members, "reference-members")
+    asks = asks.select("chrom", "tid", "strand", "s", "e")
+    sides = [nearest(asks.select("chrom", "tid", "s", "e"), loci, "chrom", side, max_dist, "tid", "ref_locus").select("tid", F.lit(side).alias("side"), "ref_locus") for side in ("left", "right")]
+    inside = overlap_join(asks.select("chrom", "tid", "s", "e"), loci, ["chrom"]).select("tid", F.lit("within").alias("side"), F.col("b_ref_locus").alias("ref_locus"))
+    found = sides[0].unionByName(sides[1]).unionByName(inside).join(members, "ref_locus").join(asks.select("tid", "strand", "s", "e"), "tid")
+    agree = strands_agree(F.col("strand"), F.col("r_strand"))
+    category = F.when(F.col("side") != "within", "intergenic").when(agree, "encompassing_same_strand").otherwise("encompassing_opp_strand")
+    distance = F.when(F.col("side") == "within", 0).otherwise(F.least(F.abs(F.col("s") - F.col("r_e")), F.abs(F.col("r_s") - F.col("e"))))
+    return found.select("tid", "side", "ref_id", category.alias("category"), distance.cast("long").alias("distance"))
+
+
+def compare(tx: DataFrame, exon_rows: DataFrame) -> DataFrame:
+    """(tid, category, ref_ids) of every non-reference transcript: the consensus of its matches in the locus, else the best of what is around, else
+    intergenic with no reference."""
+    overlapping = stage(consensus(locus_matches(tx, exon_rows)).select("tid", "category", "ref_ids"), "consensus")
+    asks = tx.where("NOT ref").join(overlapping.select("tid"), "tid", "left_anti")
+    around = intergenic_matches(asks, tx)
+    facts = lambda ref: tx.where("ref" if ref else "NOT ref").select(F.col("tid").alias("ref_id" if ref else "tid"), F.col("length").alias("ref_length" if ref else "length"), F.col("n_exons").alias("ref_n_exons" if ref else "n_exons"))
+    full = around.join(facts(False), "tid").join(facts(True), "ref_id")
+    for c in ("same_bp", "opp_bp", "shared_introns"):
+        full = full.withColumn(c, F.lit(0))
+    best = choose_best(full.withColumn("splicing", F.lit(False)), "tid").select("tid", "category", F.col("ref_id").cast("string").alias("ref_ids"))
+    rest = asks.select("tid").join(best, "tid", "left").select("tid", F.coalesce("category", F.lit("intergenic")).alias("category"), "ref_ids")
+    return overlapping.unionByName(rest)
 
 
 def nearest_genes(tx: DataFrame, max_dist: int = 1_000_000) -> DataFrame:
@@ -152,8 +174,6 @@ def type_class(gene_type: Column) -> Column:
 
 def coding_category(tx: DataFrame, exon_rows: DataFrame, ref_types: DataFrame) -> DataFrame:
     """(tid, label) of non-reference transcripts: protein, ncrna, antisense, intronic or intergenic, in this order of priority. ref_types: tid, coding."""
-    from spanloom.operators.joins import overlap_join
-
     refs = exon_rows.where("ref").join(ref_types, "tid").select("chrom", "s", "e", "strand", "coding")
     asks = exon_rows.where("NOT ref").select("chrom", "s", "e", "tid", "strand")
     hits = overlap_join(asks, refs, ["chrom"])
@@ -189,9 +209,6 @@ def best_in_both_directions(exon_rows: DataFrame) -> DataFrame:
 def merge_genes(exon_rows: DataFrame) -> DataFrame:
     """(tid, gene_id, gene): transcripts whose exons share a cluster (chromosome and strand, touching merges), transitively, are one gene; gene ids
     number the genes by place. Each round of labels is written to the shared folder."""
-    from spanloom.operators.filters import global_rank
-    from spanloom.operators.intervals import islands
-
     rows = islands(exon_rows.select("chrom", "strand", "tid", "gene", "s", "e"), ["chrom", "strand"], order=["tid"])
     links = stage(rows.select(F.concat_ws(":", "chrom", "strand", F.col("island").cast("string")).alias("c"), "tid").distinct())
     label = stage(links.groupBy("tid").agg(F.min("tid").alias("g")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.stages import stage
+
 #: Names of the main chromosomes in two conventions.
 CHROMS = {f"chr{x}": str(x) for x in [*range(1, 23), "X", "Y"]} | {"chrM": "MT"}
 
@@ -102,19 +104,20 @@ def explode_transcripts(tx: DataFrame) -> DataFrame:
 
 def renumber(df: DataFrame, key: str, order: Sequence[str], prefix: str, out: str, width: int = 0) -> DataFrame:
     """df with ``out``: keys numbered by first appearance. The table of keys, not of rows, is sorted: firsts are range-partitioned, counted
-    per partition, and numbered by partition offset and rank within."""
+    per range, and numbered by range offset and rank within."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     name = lambda n: F.format_string(f"{prefix}%0{width}d" if width else f"{prefix}%d", n)
     return df.join(global_rank(firsts, ["_first", key], "_no").select(key, name(F.col("_no")).alias(out)), key)
 
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str, start: int = 1) -> DataFrame:
-    """df with its position in the global order, without a single-partition window. Ranges are those of the first sort; order must be total."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    """df with its position in the global order, without a single-partition window; order must be total. Rows are range-partitioned and written
+    with their range's number, so that ranks and offsets speak of the same ranges whatever is computed again."""
+    ranged = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     per = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = per.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_r", rank).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_r") + F.col("_o") + (start - 1)).drop("_part", "_r", "_o")
+    return ranged.withColumn("_r", rank).join(offsets, "_part").withColumn(out, F.col("_r") + F.col("_o") + (start - 1)).drop("_part", "_r", "_o")
 
 
 def tag_tests(tx: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

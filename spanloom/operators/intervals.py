@@ -148,32 +148,40 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*(F.col(c) if isinstance(c, str) else c for c in cols), F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
 
 
+_CELLS = 4096
+
+
+def _on_grid(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """df with a row for each of _CELLS equal cells of [0, 1) that [lo, hi) meets: range lookups become equi-joins on _cell."""
+    last = F.least(F.floor(hi * _CELLS), F.lit(_CELLS - 1))
+    return df.withColumn("_cell", F.explode(F.sequence(F.floor(lo * _CELLS).cast("int"), last.cast("int"))))
+
+
 def shuffled_places(genes: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """(gene, new_chrom, new_s): a seeded place for each gene (gene, span) on a chromosome, chosen by its share of all positions, in which it fits."""
+    """(gene, new_chrom, new_s): a seeded place for each gene (gene, span) on a chromosome, chosen by its share of all positions, in which it fits. sizes has
+    a row per chromosome."""
     total = W.partitionBy()
     laid = sizes.withColumn("hi", F.sum("size").over(total.orderBy("chrom")) / F.sum("size").over(total))
-    laid = laid.withColumn("lo", F.coalesce(F.lag("hi").over(total.orderBy("chrom")), F.lit(0.0)))
-    # The chromosome table is small by nature (one row per chromosome); the draw is matched through it as a sorted array.
-    shelf = laid.agg(F.sort_array(F.collect_list(F.struct("hi", F.col("chrom").alias("new_chrom"), "size"))).alias("shelf"))
-    drawn = genes.join(F.broadcast(shelf), F.lit(True)).withColumn("_u", unit_hash("gene", seed=seed))
-    drawn = drawn.withColumn("_c", F.element_at(F.filter("shelf", lambda x: x["hi"] > F.col("_u")), 1))
-    room = F.greatest(F.col("_c.size") - F.col("span"), F.lit(0))
-    return drawn.select("gene", F.col("_c.new_chrom").alias("new_chrom"), F.floor(unit_hash("gene", seed=seed + 1) * (room + 1)).alias("new_s"))
+    laid = laid.select(F.col("chrom").alias("new_chrom"), "size", "hi", F.coalesce(F.lag("hi").over(total.orderBy("chrom")), F.lit(0.0)).alias("lo"))
+    drawn = genes.withColumn("_u", unit_hash("gene", seed=seed)).withColumn("_cell", F.floor(F.col("_u") * _CELLS).cast("int"))
+    met = drawn.join(_on_grid(laid, F.col("lo"), F.col("hi")), "_cell").where("_u >= lo AND _u < hi")
+    room = F.greatest(F.col("size") - F.col("span"), F.lit(0))
+    return met.select("gene", "new_chrom", F.floor(unit_hash("gene", seed=seed + 1) * (room + 1)).alias("new_s"))
 
 
 def random_intervals(space: DataFrame, lengths: DataFrame, seed: int = 0, tries: int = 32) -> DataFrame:
     """(no, chrom, s, e): for each wanted length (no, length), a place in ``space`` (chrom, s, e) drawn by length; draws that don't fit are rejected
-    and redrawn, ``tries`` times at most. The space's cumulative lengths are joined in bins, not scanned per draw."""
+    and redrawn, ``tries`` times at most. The space's cumulative lengths are joined in cells, not scanned per draw."""
+    width = F.col("e") - F.col("s")
+    every = space.agg(F.sum(width)).first()[0] or 1
     total = W.partitionBy()
-    per = space.groupBy("chrom").agg(F.sum(F.col("e") - F.col("s")).alias("n"))
-    offset = per.select("chrom", F.coalesce(F.sum("n").over(total.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"), F.sum("n").over(total).alias("all"))
-    inner = F.sum(F.col("e") - F.col("s")).over(W.partitionBy("chrom").orderBy("s", "e"))
-    laid = space.withColumn("hi", inner).join(F.broadcast(offset), "chrom").withColumn("hi", F.col("hi") + F.col("o")).withColumn("lo", F.col("hi") - (F.col("e") - F.col("s")))
-    cells = 4096
-    grid = laid.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * cells / F.col("all")), F.floor((F.col("hi") - 1) * cells / F.col("all")))))
-    extent = F.broadcast(per.agg(F.sum("n").alias("_all")))
-    draws = lengths.join(extent, F.lit(True)).withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    draws = draws.withColumn("_at", F.floor(unit_hash("no", "_try", seed=seed) * F.col("_all"))).withColumn("_cell", F.floor(F.col("_at") * cells / F.col("_all")))
+    per = space.groupBy("chrom").agg(F.sum(width).alias("n"))
+    offset = per.select("chrom", F.coalesce(F.sum("n").over(total.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    inner = F.sum(width).over(W.partitionBy("chrom").orderBy("s", "e"))
+    laid = space.withColumn("hi", inner).join(offset, "chrom").withColumn("hi", F.col("hi") + F.col("o")).withColumn("lo", F.col("hi") - width)
+    grid = _on_grid(laid, F.col("lo") / every, (F.col("hi") - 1) / every)
+    draws = lengths.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_at", F.floor(unit_hash("no", "_try", seed=seed) * every))
+    draws = draws.withColumn("_cell", F.floor(F.col("_at") / every * _CELLS).cast("int"))
     hits = draws.join(grid, "_cell").where("_at >= lo AND _at < hi").withColumn("_s", F.col("s") + F.col("_at") - F.col("lo")).where(F.col("_s") + F.col("length") <= F.col("e"))
     best = hits.groupBy("no").agg(F.min(F.struct("_try", "chrom", F.col("_s").alias("s"), (F.col("_s") + F.col("length")).alias("e"))).alias("b"))
     return best.select("no", "b.chrom", "b.s", "b.e")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import analysis_plans, book, filter_plans, graph_plans, interval_plans, join_plans, stats_plans  # noqa: F401  (the plan modules register their queries)
+from spanloom.plans import analysis_plans, book, filter_plans, graph_plans, interval_plans, join_plans, stats_plans, stream_plans  # noqa: F401  (the plan modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

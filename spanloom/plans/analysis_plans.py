@@ -12,6 +12,7 @@ from spanloom.operators import compare as cp
 from spanloom.operators.stats import left_ecdf_rank
 from spanloom.plans.book import View, query
 from spanloom.plans.interval_plans import SEGMENTS
+from spanloom.plans.join_plans import REF_LOCI
 from spanloom.sources.stages import stage
 
 # Evidence of nodes, and strands after one pass.
@@ -91,12 +92,16 @@ def resolved_strands(v: View) -> DataFrame:
 
 
 @query("a2_weighted_means", RESOLVED + """,
-n AS (SELECT chrom, locus, seg_s, seg_e, resolved, avg(score) AS score, count(DISTINCT sample) AS samples FROM seg JOIN rs USING (tid) WHERE NOT ref GROUP BY ALL)
-SELECT tid, round(sum(n.score * (seg_e - seg_s)) / sum(seg_e - seg_s), 4) AS mean_score, round(sum(samples * (seg_e - seg_s)) / sum(seg_e - seg_s), 6) AS mean_recurrence
-FROM seg JOIN rs USING (tid) JOIN n USING (chrom, locus, seg_s, seg_e, resolved) WHERE NOT ref GROUP BY tid""")
+pc AS (SELECT tid, 100.0 * (rank() OVER (PARTITION BY lib ORDER BY score) - 1) / count(*) OVER (PARTITION BY lib) AS pct FROM tx),
+sr AS MATERIALIZED (SELECT seg.*, resolved, pct::DOUBLE AS pct FROM seg JOIN rs USING (tid) JOIN pc USING (tid) WHERE NOT ref),
+n AS (SELECT chrom, locus, seg_s, seg_e, resolved, sum(score) AS n_score, sum(pct) AS n_pct, count(DISTINCT sample) AS samples FROM sr GROUP BY ALL)
+SELECT tid, round(sum(n_score * (seg_e - seg_s)) / sum(seg_e - seg_s), 4) AS mean_score, round(sum(n_pct * (seg_e - seg_s)) / sum(seg_e - seg_s), 4) AS mean_pct,
+  round(sum(samples * (seg_e - seg_s)) / sum(seg_e - seg_s), 6) AS mean_recurrence FROM sr JOIN n USING (chrom, locus, seg_s, seg_e, resolved) GROUP BY tid""")
 def weighted_means(v: View) -> DataFrame:
-    out = an.node_means(v.loci[1], an.resolve_once(v.loci[1]))
-    return out.select("tid", F.round("mean_score", 4).alias("mean_score"), F.round("mean_recurrence", 6).alias("mean_recurrence"))
+    ranks = left_ecdf_rank(v.tx.select("tid", "lib", "score"), "lib", "score").select("tid", "pct")
+    rows = v.loci[1]
+    out = an.node_means(rows.join(ranks, "tid"), stage(an.resolve_once(rows), "resolved"), ("score", "pct"))
+    return out.select("tid", F.round("mean_score", 4).alias("mean_score"), F.round("mean_pct", 4).alias("mean_pct"), F.round("mean_recurrence", 6).alias("mean_recurrence"))
 
 
 @query("r1_best_by_introns", PAIRS + ", bb AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY ir DESC, cr DESC, ref_id) AS k FROM pr WHERE same AND n > 0) SELECT tid, ref_id, round(ir, 6) AS intron_ratio, round(cr, 6) AS cov_ratio FROM bb WHERE k = 1")
@@ -156,11 +161,11 @@ def consensus(v: View) -> DataFrame:
     return cp.consensus(cp.locus_matches(*v.loci))
 
 
-@query("c7_compare_summary", CONSENSUS + ", s AS (SELECT coalesce(category, 'intergenic') AS category FROM tx LEFT JOIN co USING (tid) WHERE NOT ref) SELECT category, count(*) AS n FROM s GROUP BY category")
-def compare_summary(v: View) -> DataFrame:
-    """The whole comparison: matched transcripts by consensus category, the rest intergenic."""
-    co = cp.consensus(cp.locus_matches(*v.loci)).select("tid", "category")
-    return v.tx.where("NOT ref").select("tid").join(co, "tid", "left").groupBy(F.coalesce("category", F.lit("intergenic")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+@query("c7_compare", CONSENSUS.replace("co AS (", "co AS MATERIALIZED (", 1) + ", aq AS MATERIALIZED (SELECT * FROM tx WHERE NOT ref AND tid NOT IN (SELECT tid FROM co))," + REF_LOCI.format(asks="aq") + """,
+ib AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY """ + ", ".join(f"(category = '{c}') DESC" for c in cp.PREFERENCE) + """, distance, ref_id) AS k FROM im)
+SELECT tid, category, ref_ids FROM co UNION ALL SELECT aq.tid, coalesce(category, 'intergenic'), CAST(ref_id AS VARCHAR) FROM aq LEFT JOIN ib ON aq.tid = ib.tid AND k = 1""")
+def whole_comparison(v: View) -> DataFrame:
+    return cp.compare(*v.loci)
 
 
 TYPES = {"opp_strand": "antisense", "intronic_same_strand": "sense_intronic", "intronic_opp_strand": "antisense", "interleaving_same_strand": "sense_overlapping", "interleaving_opp_strand": "antisense"}

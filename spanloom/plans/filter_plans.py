@@ -162,10 +162,10 @@ def tracking(v: View) -> DataFrame:
     return fm.parse_tracking(v.table("orders").select(line.alias("value")))
 
 
-@query("io17_map_mass", "WITH c AS (SELECT * FROM customer WHERE c_custkey % 2 = 0) SELECT CAST(c_custkey AS DOUBLE) / 2 AS mass FROM c")
+@query("io17_map_mass", "SELECT CAST(c_custkey AS DOUBLE) / 2 AS mass FROM customer WHERE c_acctbal > 0")
 def map_mass(v: View) -> DataFrame:
     k = F.col("c_custkey")
-    line = F.when(k % 2 == 0, F.concat(F.lit(">\tNormalized Map Mass: "), (k / 2).cast("string"))).otherwise("> Processing")
+    line = F.when(F.col("c_acctbal") > 0, F.concat(F.lit(">\tNormalized Map Mass: "), (k / 2).cast("string"))).otherwise("> Processing")
     return fm.map_mass(v.table("customer").select(line.alias("value")))
 
 
@@ -284,9 +284,9 @@ def tagged_tests(v: View) -> DataFrame:
     return fl.tag_tests(v.tx, 0.2, seed=11).select("tid", "gene", "ref", "tst")
 
 
-@query("f12_listed_tests", "SELECT tid, ref AND CAST(substr(gene, 2) AS BIGINT) % 3 = 0 AS tst FROM tx")
+@query("f12_listed_tests", "SELECT tid, ref AND gene IN (SELECT gene FROM tx WHERE strand = '+' AND n_exons > 3) AS tst FROM tx")
 def listed_tests(v: View) -> DataFrame:
-    genes = v.tx.select("gene").distinct().where(F.substring("gene", 2, 20).cast("long") % 3 == 0)
+    genes = v.tx.where("strand = '+' AND n_exons > 3").select("gene")
     return fl.tag_test_list(v.tx, genes).select("tid", "tst")
 
 

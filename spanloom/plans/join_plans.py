@@ -137,9 +137,9 @@ def locus_gene_exons(v: View) -> DataFrame:
     return hits.groupBy("tid", F.col("b_gene").alias("ref_gene")).agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
-@query("j13_results_join", "SELECT tid, coalesce(CAST(any_value(o_totalprice) FILTER (o_orderkey % 3 > 0) AS VARCHAR), 'SKIPPED') = 'SKIPPED' AS skipped FROM tx JOIN orders ON tid = o_orderkey GROUP BY tid")
+@query("j13_results_join", "SELECT tid, coalesce(CAST(any_value(o_totalprice) FILTER (o_orderstatus = 'O') AS VARCHAR), 'SKIPPED') = 'SKIPPED' AS skipped FROM tx JOIN orders ON tid = o_orderkey GROUP BY tid")
 def results_join(v: View) -> DataFrame:
-    results = v.table("orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("string").alias("result"), F.lit(0).alias("pos"))
+    results = v.table("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("string").alias("result"), F.lit(0).alias("pos"))
     joined = joins.left_join_table(v.tx.select("tid"), results, "tid", "key", "pos", missing="SKIPPED")
     return joined.select("tid", (F.col("result") == "SKIPPED").alias("skipped"))
 
@@ -151,15 +151,20 @@ def containment(v: View) -> DataFrame:
     return hits.where(joins.contains_strictly(F.col("b_s"), F.col("b_e"), F.col("s"), F.col("e"))).select("tid", "b_strand", "b_s", "b_e")
 
 
-@query("r6_nearest_loci", """
-b AS (SELECT chrom, chrom || ':' || locus AS ref_locus, min(s) AS s, max(e) AS e FROM lo WHERE ref GROUP BY chrom, locus), a AS (SELECT * FROM lo WHERE NOT ref),
-m AS (SELECT a.tid, ref_locus, a.s AS a_s, a.e AS a_e, a.s - b.e AS dl, b.s - a.e AS dr FROM a JOIN b ON a.chrom = b.chrom AND (a.s - b.e >= 1 OR b.s - a.e >= 1)),
-n AS (SELECT *, CASE WHEN dl >= 1 THEN 'left' ELSE 'right' END AS side, greatest(dl, dr) AS dist FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY tid, side ORDER BY dist, ref_locus) AS rank FROM n)
-SELECT r.tid, side, lo.tid AS ref_id, CASE WHEN side = 'left' THEN a_s - lo.e ELSE lo.s - a_e END AS distance
-FROM r JOIN lo ON lo.ref AND ref_locus = lo.chrom || ':' || lo.locus WHERE rank = 1""")
+REF_LOCI = """
+rf AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e, tid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM tx WHERE ref),
+rm AS MATERIALIZED (SELECT *, chrom || ':' || CAST(sum(brk) OVER (PARTITION BY chrom ORDER BY s, e, tid) AS BIGINT) AS ref_locus FROM rf),
+rl AS MATERIALIZED (SELECT chrom, ref_locus, min(s) AS s, max(e) AS e FROM rm GROUP BY chrom, ref_locus),
+rn AS (SELECT a.tid, ref_locus, CASE WHEN a.s - b.e >= 1 THEN 'left' ELSE 'right' END AS side, greatest(a.s - b.e, b.s - a.e) AS dist FROM {asks} AS a JOIN rl AS b ON a.chrom = b.chrom AND (a.s - b.e >= 1 OR b.s - a.e >= 1)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY tid, side ORDER BY dist, ref_locus) AS k FROM rn),
+ra AS (SELECT tid, side, ref_locus FROM rk WHERE k = 1 UNION ALL SELECT a.tid, 'within', ref_locus FROM {asks} AS a JOIN rl AS b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e),
+im AS MATERIALIZED (SELECT a.tid, side, m.tid AS ref_id, CASE WHEN side <> 'within' THEN 'intergenic' WHEN a.strand = m.strand OR a.strand = '.' OR m.strand = '.' THEN 'encompassing_same_strand' ELSE 'encompassing_opp_strand' END AS category,
+    CASE WHEN side = 'within' THEN 0 ELSE least(abs(a.s - m.e), abs(m.s - a.e)) END AS distance FROM ra JOIN {asks} AS a ON ra.tid = a.tid JOIN rm AS m ON ra.ref_locus = m.ref_locus)"""
+
+
+@query("r6_nearest_loci", "aq AS (SELECT * FROM tx WHERE NOT ref)," + REF_LOCI.format(asks="aq") + " SELECT tid, side, ref_id, category, distance FROM im")
 def nearest_loci(v: View) -> DataFrame:
-    return compare.intergenic_matches(v.lo)
+    return compare.intergenic_matches(v.tx.where("NOT ref"), v.tx)
 
 
 @query("r7_nearest_genes", """

@@ -109,24 +109,27 @@ def row_summary(v: View) -> DataFrame:
     return st.row_summary(v.tx, "gene", "score")
 
 
-@query("a15_matrix_subset", "SELECT tid, lib, score FROM tx WHERE tid % 3 = 0 AND lib IN ('L1', 'L6')")
+@query("a15_matrix_subset", "SELECT tid, lib, score FROM tx WHERE ref AND lib IN ('L1', 'L6')")
 def matrix_subset(v: View) -> DataFrame:
     libs = v.tx.select("lib").where("lib IN ('L1', 'L6')")
-    return st.matrix_subset(v.tx.select("tid", "lib", "score"), v.tx.where("tid % 3 = 0").select("tid"), libs)
+    return st.matrix_subset(v.tx.select("tid", "lib", "score"), v.tx.where("ref").select("tid"), libs)
 
 
-TRACK = "tr AS (SELECT DISTINCT chrom, s AS b_s, s + 300 AS b_e, (s // 100 % 7)::DOUBLE AS v FROM ex WHERE s % 400 = 0)"
+TRACK = MERGED.format(by="chrom", table="(SELECT * FROM ex WHERE ref)") + ", tr AS (SELECT chrom, s AS b_s, e AS b_e, (s // 100 % 7)::DOUBLE AS v FROM mm)"
 
 
 def _track(v: View) -> DataFrame:
-    return v.ex.where("s % 400 = 0").select("chrom", "s", (F.col("s") + 300).alias("e"), F.expr("cast(s div 100 % 7 as double)").alias("value")).distinct()
+    """A track without overlaps: merged reference exons, with a value from their place."""
+    from spanloom.operators.intervals import clusters
+
+    return clusters(v.ex.where("ref"), ["chrom"]).select("chrom", "s", "e", F.expr("cast(s div 100 % 7 as double)").alias("value"))
 
 
 @query("a16_track_means", TRACK + """, h AS (SELECT tid, v, least(e, b_e) - greatest(s, b_s) AS n FROM ex JOIN tr ON ex.chrom = tr.chrom AND s < b_e AND b_s < e)
-SELECT tid, round(sum(v * n) / sum(n), 6) AS mean, round(sum(n) FILTER (v >= 3) / sum(n), 6) AS frac, CAST(sum(n) AS BIGINT) AS n_covered FROM h GROUP BY tid""")
+SELECT tid, round(sum(v * n) / sum(n), 6) AS mean, round(coalesce(sum(n) FILTER (v >= 3), 0) / sum(n), 6) AS frac, CAST(sum(n) AS BIGINT) AS n_covered FROM h GROUP BY tid""")
 def track_means(v: View) -> DataFrame:
     out = st.track_means(v.ex, _track(v), 3.0)
-    return out.select("tid", F.round("mean", 6).alias("mean"), F.when(F.col("frac") > 0, F.round("frac", 6)).alias("frac"), "n_covered")
+    return out.select("tid", F.round("mean", 6).alias("mean"), F.round("frac", 6).alias("frac"), "n_covered")
 
 
 @query("a17_best_window", """
@@ -173,10 +176,10 @@ def area(v: View) -> DataFrame:
     return st.auc(rows, "g", "x", "y").select("g", F.round("auc", 6).alias("auc"))
 
 
-@query("r4_best_row", """WITH n AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS x FROM events),
+@query("r4_best_row", """WITH n AS (SELECT *, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS x FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x DESC NULLS LAST, event_id) AS k FROM n) SELECT user_id, event_id FROM r WHERE k = 1""")
 def best_row(v: View) -> DataFrame:
-    rows = v.table("events").select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(F.lit("NA"), F.lit("nan"), F.lit("None")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(F.col("value").cast("string")).alias("x"))
+    rows = v.table("events").select("user_id", "event_id", F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("NA"), F.lit("nan"), F.lit("None")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(F.col("value").cast("string")).alias("x"))
     return st.best_row(rows, "user_id", "x", ["event_id"]).select("user_id", "event_id")
 
 
