@@ -44,25 +44,29 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     return df.withColumn("target", F.coalesce(F.least(F.col("weight") * ends, F.col("cap")), F.col("cap"))).select("source", "source_size", "weight", "target")
 
 
+def with_block(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """goals (source, target) with block: the words of a slot, the same for all sources."""
+    return goals.withColumn("block", F.greatest(F.ceil(F.sum("target").over(W.partitionBy()) / slots), F.lit(1)).cast("long"))
+
+
 def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """goals (source, target) -> slot, source, block_no (rank of the slot within its source, from 0), block (words)."""
+    """goals (source, target, block) -> slot, source, block_no (rank of the slot within its source, from 0)."""
     spark = goals.sparkSession
     shares = goals.withColumn("all", F.sum("target").over(W.partitionBy())).where("target > 0")
     running = F.sum("target").over(W.partitionBy().orderBy(F.col("source").asc_nulls_last()))
     spans = shares.withColumn("hi", running / F.col("all")).withColumn("lo", (running - F.col("target")) / F.col("all"))
     spans = spans.withColumn("hi", F.when(F.row_number().over(W.partitionBy().orderBy(F.col("hi").desc())) == 1, 1.0).otherwise(F.col("hi")))
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(W.partitionBy().orderBy("hi")), F.lit(0.0)))
-    block = F.greatest(F.ceil(F.col("all") / slots), F.lit(1)).cast("long")
     cells = F.sequence(F.floor(F.col("lo") * _CELLS).cast("int"), F.least(F.floor(F.col("hi") * _CELLS).cast("int"), F.lit(_CELLS - 1)))
-    spans = spans.select("source", "lo", "hi", block.alias("block"), F.ceil(F.col("all") / block).alias("used"), F.explode(cells).alias("cell"))
+    spans = spans.select("source", "lo", "hi", F.ceil(F.col("all") / F.col("block")).alias("used"), F.explode(cells).alias("cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN % 1).alias("x")).withColumn("cell", F.floor(F.col("x") * _CELLS).cast("int"))
-    dealt = points.join(F.broadcast(spans), "cell").where("x >= lo AND x < hi AND slot < used").select("slot", "source", "block")  # cells + sources rows
+    dealt = points.join(F.broadcast(spans), "cell").where("x >= lo AND x < hi AND slot < used").select("slot", "source")  # cells + sources rows
     dealt = dealt.withColumn("chunk", F.floor(F.col("slot") / _CHUNK).cast("int"))
     counts = dealt.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col("source").alias("s"), F.col("chunk").alias("c"), (F.sum("n").over(W.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
     ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1)
     ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    return ranked.select("slot", "source", (F.col("rank") + F.col("before")).alias("block_no"), "block")
+    return ranked.select("slot", "source", (F.col("rank") + F.col("before")).alias("block_no"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = SLOTS) -> DataFrame:
@@ -74,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(word_count(F.col(text_col)))
     sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
-    goals = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
+    goals = stage(with_block(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), slots), "mix-targets")
     # Where each document starts in its source's stream: bucket offsets plus a running sum within the bucket.
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_BUCKETS)).cast("int"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -82,13 +86,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in_bucket = W.partitionBy("source", "bucket").orderBy(F.xxhash64("id"), "id", "size")
     placed = sized.withColumn("row", F.row_number().over(in_bucket)).withColumn("start", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("start") + F.col("offset")).drop("s", "b", "offset")
-    plan = schedule(goals, slots).select(F.col("source").alias("ps"), "block_no", "block")
-    width = F.broadcast(plan.agg(F.max("block").alias("width")))
-    goal = goals.select(F.col("source").alias("gs"), "source_size", "target")
-    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("gs"))).drop("gs").join(width, F.lit(True))
+    plan = schedule(goals, slots).select(F.col("source").alias("ps"), "block_no")
+    goal = goals.select(F.col("source").alias("gs"), "source_size", "target", F.col("block").alias("width"))
+    placed = placed.join(goal, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
     rounds = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
     lo = F.col("round") * F.col("source_size") + F.col("start")
-    blocks = F.when((F.col("size") > 0) & F.col("width").isNotNull(), F.sequence(F.floor(lo / F.col("width")), F.floor((lo + F.col("size") - 1) / F.col("width"))))
+    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(lo / F.col("width")), F.floor((lo + F.col("size") - 1) / F.col("width"))))
     pieces = rounds.withColumn("lo", lo).withColumn("no", F.explode_outer(blocks))
     # The schedule has at most ``slots`` rows.
     met = pieces.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("ps")) & (F.col("no") == F.col("block_no")), "left")
