@@ -24,7 +24,7 @@ from spanloom.llm.common import stage, table
 from spanloom.llm.components import components
 
 #: Most residents of a leaf that one block holds.
-BLOCK = 2048
+BLOCK = 512
 _BASE = 40  # distances within a half, with room for the steps: 0 to 33
 
 
@@ -59,8 +59,8 @@ def vantage_points(half: int, levels: int) -> list[int]:
 
 
 def tree_levels(n: int) -> int:
-    """Each level thins a leaf about tenfold and doubles the leaves that are asked; four are enough for tens of millions."""
-    return max(4, math.ceil(math.log10(max(n, 1) / 5000)))
+    """Each level thins a leaf about tenfold and doubles the leaves that are asked; a leaf is to hold about a hundred residents."""
+    return max(4, math.ceil(math.log10(max(n, 1) / 500)))
 
 
 def _trees(fp: Column, levels: int) -> list[tuple[Column, Column]]:
