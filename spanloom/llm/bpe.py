@@ -24,7 +24,7 @@ from spanloom.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: A worker forgets its words, or its pairs, when it knows so many.
-CACHED = 300_000
+CACHED = 200_000
 _END = 256  # added to the code of a word's last byte
 
 
