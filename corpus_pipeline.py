@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import digests
-from spanloom.llm.common import stage, table
+from spanloom.llm.common import fresh, stage, table
 from spanloom.llm.exact_dedup import exact_groups
 from spanloom.llm.langid import fit, held_out, predict
 from spanloom.llm.mixing import mix
@@ -19,7 +19,9 @@ LEAST_SCORE = 0.5
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: neither ``und`` nor undecided between languages."""
     model = fit(docs.where(~held_out()))
-    return predict(docs.select(*docs.columns), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    guessed = predict(docs, model, lang_out=lang, score_out=score)
+    return guessed.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -39,8 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words: taken / size, rounded to whole documents (0, 1 or 2)."""
-    times = mix(docs).where("size > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).where("times > 0").select("doc_id", "times")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    times, copy = fresh(docs, "times"), fresh(docs, "copy")
+    taken = mix(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
+    return docs.join(taken, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import stage, table
+from spanloom.llm.common import fresh, stage, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Expected number of labelled texts per language that the piece probabilities are fitted on; texts are picked by a hash of their id.
 SAMPLE_DOCS = 400
 #: A worker forgets its words when it knows so many; it scores texts together until they have BATCH words.
-CACHED_WORDS = 400_000
-BATCH = 100_000
+CACHED_WORDS = 300_000
+BATCH = 50_000
 _CUT, _LONGEST = 32, 16
 _MARK = "▁"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +178,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(words_of)
+        return pd.Series([words_of(t) for t in texts], dtype=object)
 
     words = stage(picked.select("lang", F.explode(split("text")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     v = len(pieces.names)
@@ -203,11 +203,12 @@ def _expect(batches: Iterator[pd.DataFrame], pieces: Pieces, languages: list[str
             for where in by_length(words):
                 uses[:, k] += expected(pieces.grid([words[i] for i in where]), probs[:, k : k + 1], times[where])
     piece, k = np.nonzero(uses[:-1] > 1e-6)
-    yield pd.DataFrame({"lang": [languages[i] for i in k], "piece": piece.astype(np.int32), "n": uses[piece, k]})
+    if len(k):
+        yield pd.DataFrame({"lang": [languages[i] for i in k], "piece": piece.astype(np.int32), "n": uses[piece, k]})
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the posterior of lang_pred under equal priors, 0 to 1) added.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with lang_out and score_out (the posterior of the predicted language under equal priors, 0 to 1) added; columns of these names are replaced.
 
     A null text, or one without a letter, is ``und`` with score 0, as is any text when no language was learned; ties go to the first
     language by name. No shuffle; repeated rows get equal predictions; only the text is an input.
@@ -237,7 +238,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     open_rows, words, size = [], [], 0
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn("_guess", guess(F.col(text_col))).withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    both = fresh(docs, "_guess")
+    return docs.withColumn(both, guess(F.col(text_col))).withColumns({lang_out: F.col(both)["lang"], score_out: F.col(both)["score"]}).drop(both)
 
 
 def held_out(id_col: str = "doc_id"):
