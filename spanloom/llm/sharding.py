@@ -68,14 +68,15 @@ def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
 
 
 def ring_shards(rows: DataFrame, n_shards: int, key: str = "doc_id", vnodes: int = 64, slack: float = 0.0) -> DataFrame:
-    """rows with ``shard`` and ``slot`` (gapless from 0 in each shard) added; columns of these names are replaced.
+    """rows with ``shard`` and ``slot`` (gapless from 0 in each shard) added; columns of these names are replaced, others kept whatever their names.
 
     Every row is placed once. Repeated keys are neighbours on the ring, so runs of them spill over like any others; null keys hash to one
     place. An empty table gives an empty result. Depends on the keys and on how many rows there are, never on how they are laid out.
     The plan shuffles each row once, by cell (65536 cells, even unless one key repeats; then that cell's window spills to disk).
     """
     spark = rows.sparkSession
-    rows = rows.drop("shard", "slot")
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    rows = rows.select(F.struct(*kept).alias("_row"), F.col(key).alias("_key"), ring_cell(F.col(key)).alias("_cell"))
     nodes = virtual_nodes(n_shards, vnodes)
     cells_of = [c for c, _ in nodes]
     # An arc ends at its node's cell; what lies after the last node wraps to the first. Of nodes in one cell, the first has the arc.
@@ -84,23 +85,20 @@ def ring_shards(rows: DataFrame, n_shards: int, key: str = "doc_id", vnodes: int
     # Bounded by the ring: 65536 rows of two integers.
     ring = _values(spark, [x for x in spans if x[1] <= x[2]], "arc, lo, hi").select("arc", F.explode(F.sequence("lo", "hi")).alias("_cell"))
     turn = F.when(F.col("_cell") > cells_of[-1], 0).otherwise(1)  # on arc 0, cells after the last node come before those at the start
-    counts = rows.groupBy(ring_cell(F.col(key)).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(ring), "_cell")
+    counts = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(ring), "_cell")
     per_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("_n").alias("n")).collect()}
     arcs = [per_arc.get(a, 0) for a in range(len(nodes))]
     runs = settle([s for _, s in nodes], arcs, capacities(sum(arcs), n_shards, slack))
     offsets = counts.select("_cell", F.col("arc").alias("_arc"), (F.sum("_n").over(W.partitionBy("arc").orderBy(turn, "_cell")) - F.col("_n")).alias("_offset"))
     placed = _values(spark, runs, "_arc, _lo, _hi, _shard, _base")
-    in_cell = F.row_number().over(W.partitionBy("_cell").orderBy(F.xxhash64(key), key)) - 1
+    in_cell = F.row_number().over(W.partitionBy("_cell").orderBy(F.xxhash64("_key"), "_key")) - 1
     return (
-        rows.withColumn("_cell", ring_cell(F.col(key)))
-        .withColumn("_rank", in_cell)
+        rows.withColumn("_rank", in_cell)
         .join(F.broadcast(offsets), "_cell")  # at most 65536 rows
         .withColumn("_rank", F.col("_rank") + F.col("_offset"))
         .join(F.broadcast(placed).alias("p"), "_arc")  # at most arcs + shards * rounds rows
         .where("_rank >= _lo AND _rank < _hi")
-        .withColumn("shard", F.col("_shard").cast("int"))
-        .withColumn("slot", (F.col("_base") + F.col("_rank") - F.col("_lo")).cast("long"))
-        .drop("_cell", "_rank", "_offset", "_arc", "_lo", "_hi", "_shard", "_base")
+        .select("_row.*", F.col("_shard").cast("int").alias("shard"), (F.col("_base") + F.col("_rank") - F.col("_lo")).cast("long").alias("slot"))
     )
 
 
