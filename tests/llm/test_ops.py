@@ -113,7 +113,7 @@ def test_ring_moves_little_when_it_grows(spark):
 
 def test_ring_edges(spark, docs, empty):
     got = rows(sharding.ring_shards(docs, 4))
-    assert len(got) == docs.count()
+    assert len(got) == docs.count() and {r["_cell"] for r in got} == {"x"}
     assert rows(sharding.ring_shards(empty, 4)) == []
     same = spark.createDataFrame([(7,)] * 50 + [(None,)] * 30, "doc_id long")
     assert sorted(Counter(r["shard"] for r in rows(sharding.ring_shards(same, 4))).values()) == [20] * 4
