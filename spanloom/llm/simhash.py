@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stage, table
 from spanloom.llm.components import components
 
-#: Most residents of a leaf that one block holds.
-BLOCK = 512
+#: Most residents of a leaf that one block holds, and how many rows to each of these may ask there.
+BLOCK, ASKS = 512, 8
 _BASE = 40  # distances within a half, with room for the steps: 0 to 33
 
 
@@ -133,24 +133,28 @@ def near_links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFr
     fp = F.col("fp")
     trees = _trees(fp, levels)
     residents = points.select("fp", F.explode(F.array(*(home for home, _ in trees))).alias("leaf"))
-    crowded = stage(residents.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "crowded-leaves")
     none = F.array().cast("array<bigint>")
     asked = points.select("fp", F.explode(F.concat(*(F.coalesce(abroad, none) for _, abroad in trees))).alias("leaf"))
+    # Crowded leaves are cut in parts, residents in ``home_parts`` and those that ask in ``ask_parts``.
+    sizes = residents.select("leaf", F.lit(0).alias("asks")).unionByName(asked.select("leaf", F.lit(1).alias("asks"))).groupBy("leaf").agg(F.sum(1 - F.col("asks")).alias("n"), F.sum("asks").alias("m"))
+    cut = lambda c, size: F.least(F.greatest(F.ceil(F.col(c) / size), F.lit(1)), F.lit(1 << 12)).cast("int")
+    crowded = sizes.where((F.col("n") > block) | ((F.col("m") > ASKS * block) & (F.col("n") > 0))).select("leaf", cut("n", block).alias("home_parts"), cut("m", ASKS * block).alias("ask_parts"))
+    crowded = stage(crowded, "crowded-leaves")
     # Key: leaf, part of the residents, part of those that ask, and whether the row asks.
     key = lambda i, j, asks: F.col("leaf") * (1 << 25) + i * (1 << 13) + j * 2 + asks
     n = crowded.count()
     if not n:
-        rows = residents.select(key(F.lit(0), F.lit(0), F.lit(0)).alias("key"), "fp").unionByName(asked.select(key(F.lit(0), F.lit(0), F.lit(1)).alias("key"), "fp"))
+        whole = lambda asks: key(F.lit(0), F.lit(0), F.lit(asks)).alias("key")
+        rows = residents.select(whole(0), "fp").unionByName(asked.select(whole(1), "fp"))
     else:
-        # Residents of a crowded leaf are cut into parts; each part meets each part of the residents and of those that ask.
-        parts = crowded.select("leaf", F.least(F.ceil(F.col("n") / block), F.lit(1 << 12)).cast("int").alias("parts"))
-        parts = F.broadcast(parts) if n <= 10_000 else parts
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("long")
-        every = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-        here = residents.join(parts, "leaf", "left").withColumn("own", own)
-        there = here.where("parts > 1").select("leaf", "fp", "parts", "own").unionByName(asked.join(parts, "leaf", "left").withColumn("own", own))
-        here = here.withColumn("other", F.explode(every)).select(key(F.col("own"), F.col("other"), F.lit(0)).alias("key"), "fp")
-        there = there.withColumn("other", F.explode(every)).select(key(F.col("other"), F.col("own"), F.lit(1)).alias("key"), "fp")
+        parts = F.broadcast(crowded) if n <= 10_000 else crowded
+        own = lambda c: F.pmod(F.xxhash64("fp"), F.coalesce(c, F.lit(1))).cast("long")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).alias("other")
+        here, there = residents.join(parts, "leaf", "left"), asked.join(parts, "leaf", "left")
+        # Each part of the residents meets each part of those that ask; residents of several parts ask the parts as well.
+        there = here.where("home_parts > 1").unionByName(there)
+        here = here.select("leaf", "fp", own("home_parts").alias("own"), every("ask_parts")).select(key(F.col("own"), F.col("other"), F.lit(0)).alias("key"), "fp")
+        there = there.select("leaf", "fp", own("ask_parts").alias("own"), every("home_parts")).select(key(F.col("other"), F.col("own"), F.lit(1)).alias("key"), "fp")
         rows = here.unionByName(there)
     laid = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return laid.mapInPandas(lambda batches: _search(batches, radius), "u long, v long")
