@@ -46,7 +46,7 @@ def repeated_words(words: list[str], window: int = 8) -> int:
 
 def line_hash(line: str) -> int:
     """Signed hash of a normalised line."""
-    h = xxhash.xxh64_intdigest(" ".join(line.lower().split()).encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh64_intdigest(" ".join(_WORD.findall(line.lower())).encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -118,3 +118,25 @@ def remove_lines(docs: DataFrame, text_col: str = "text", removed_col: str = "re
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("removed")
+
+
+_SQL_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {_SQL_WORDS.format("t")} AS w FROM d),
+b AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+l AS (SELECT doc_id, source, l, {_SQL_WORDS.format("l")} AS w FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) AS x),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE len(w) > 0 GROUP BY doc_id),
+k AS (SELECT doc_id, source, lower(array_to_string(w, ' ')) AS k, sum(len(w)) AS n FROM l WHERE len(w) > 0 GROUP BY ALL),
+m AS (SELECT source AS m_source, greatest({MAX_DOCS}.0, count(*) * {MAX_SHARE}) AS most FROM d GROUP BY source),
+c AS (SELECT source AS c_source, k AS c_k FROM k JOIN m ON source IS NOT DISTINCT FROM m_source GROUP BY source, k, most HAVING count(*) > most),
+gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM k JOIN c ON k = c_k AND source IS NOT DISTINCT FROM c_source GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w) AS x),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) AS x WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS i FROM r) AS x GROUP BY doc_id),
+j AS (SELECT b.*, coalesce(dup.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+  FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM j)
+SELECT *, NOT base_failed AND n_words - removed_words >= {LEAST_LEFT} AND n_words - removed_words >= {LEAST_PART} * n_words AS kept FROM f
+"""
