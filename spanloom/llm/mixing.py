@@ -19,7 +19,7 @@ from spanloom.llm.common import stage, table, word_count
 GOLDEN = (5**0.5 - 1) / 2
 #: Slots of a schedule. Their number bounds what is broadcast; a source's words come within a few parts in SLOTS of its target.
 SLOTS = 1 << 17
-_BUCKETS = 4096
+_BUCKET_DIGITS = 3  # of a hexadecimal hash: 4096 buckets a source
 _CHUNK = 512
 _CELLS = 4096
 
@@ -80,10 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
     goals = stage(with_block(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), slots), "mix-targets")
     # Where each document starts in its source's stream: bucket offsets plus a running sum within the bucket.
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_BUCKETS)).cast("int"))
+    sized = sized.withColumn("turn", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("turn", 1, _BUCKET_DIGITS))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("offset"))
-    in_bucket = W.partitionBy("source", "bucket").orderBy(F.xxhash64("id"), "id", "size")
+    in_bucket = W.partitionBy("source", "bucket").orderBy("turn", "id", "size")
     placed = sized.withColumn("row", F.row_number().over(in_bucket)).withColumn("start", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("start") + F.col("offset")).drop("s", "b", "offset")
     plan = schedule(goals, slots).select(F.col("source").alias("ps"), "block_no")
@@ -102,3 +102,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def op8_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+_SIZE = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+OP8_SQL = f"""
+WITH s AS (SELECT doc_id, source, {_SIZE} AS size FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+b AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM a),
+c AS (SELECT *, cap / weight AS fill FROM b),
+d AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY fill, source NULLS LAST) AS at_row FROM c),
+lv AS (SELECT arg_min(level, at_row) AS level FROM d WHERE level <= fill),
+t AS (SELECT source, source_size, least(weight * lv.level, cap) AS target FROM d, lv),
+u AS (SELECT *, greatest(CAST(ceil(sum(target) OVER () / {SLOTS}) AS BIGINT), 1) AS block, sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () AS hi, sum(target) OVER () AS goal FROM t),
+v AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo, row_number() OVER (ORDER BY hi DESC) = 1 AS is_last FROM u WHERE target > 0),
+x AS (SELECT n, (n + 1) * {GOLDEN!r}::DOUBLE % 1 AS x FROM (SELECT unnest(range({SLOTS})) AS n) AS y),
+k AS (SELECT source AS k_source, count(*) AS slots FROM x JOIN v ON x >= lo AND (x < hi OR is_last) AND n < ceil(goal / block) GROUP BY source),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) - size AS start_pos FROM s),
+q AS (SELECT p.*, source_size, target, coalesce(slots, 0) * block AS upto FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source LEFT JOIN k ON p.source IS NOT DISTINCT FROM k_source)
+SELECT doc_id, source, size, source_size, target, CAST(greatest(0, least(start_pos + size, upto) - start_pos) + greatest(0, least(source_size + start_pos + size, upto) - source_size - start_pos) AS BIGINT) AS taken FROM q
+"""

@@ -16,5 +16,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op4_chat_format": chat.OP4_SQL, "op5_warc_transactions": warc.OP5_SQL, "op6_license_scan": licenses.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    sql = {"op4_chat_format": chat.OP4_SQL, "op5_warc_transactions": warc.OP5_SQL, "op6_license_scan": licenses.OP6_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_mix_to_weights": mixing.OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
