@@ -133,34 +133,39 @@ def nearest_genes(tx: DataFrame, max_dist: int = 1_000_000) -> DataFrame:
     return out.na.fill("NA", ["left_gene", "right_gene"]).na.fill(-1, ["left_dist", "right_dist"])
 
 
-def _tally(items: DataFrame, keys: list[str], what: str, weight: Column | None = None) -> DataFrame:
-    """(what, both, ref_only, test_only): items of either side, by presence."""
-    w = F.lit(1) if weight is None else weight
-    sides = items.groupBy(*keys).agg(F.max("ref").alias("r"), F.max(~F.col("ref")).alias("t"))
-    total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0)).cast("long")
-    r, t = F.col("r"), F.col("t")
-    return sides.agg(total(r & t).alias("both"), total(r & ~t).alias("ref_only"), total(t & ~r).alias("test_only")).select(F.lit(what).alias("what"), "both", "ref_only", "test_only")
-
-
-def tallies(exon_rows: DataFrame) -> DataFrame:
-    """Introns, splicing patterns and bases (by strand; an unstranded node marks the nodes of both strands where they exist) in both sets or one, with
-    precision and recall."""
+def _items(exon_rows: DataFrame) -> DataFrame:
+    """(what, item, ref, tid, w): each transcript's introns, its splicing pattern, and its nodes weighted by their bases. An unstranded node stands for the
+    nodes of both strands where they exist."""
+    place = lambda *cols: F.concat_ws(":", *(F.col(c).cast("string") for c in cols)).alias("item")
     gaps = introns(exon_rows.select("chrom", "tid", "strand", "ref", "s", "e"), ["chrom", "tid", "strand", "ref"])
-    one = _tally(gaps, ["chrom", "strand", "s", "e"], "introns")
+    one = gaps.select(F.lit("introns").alias("what"), place("chrom", "strand", "s", "e"), "ref", "tid", F.lit(1).cast("long").alias("w"))
     sides = splicing_patterns(gaps.where("ref")).withColumn("ref", F.lit(True)).unionByName(splicing_patterns(gaps.where("NOT ref")).withColumn("ref", F.lit(False)))
-    two = _tally(sides, ["chrom", "strand", "pattern"], "patterns")
-    seg = nodes(exon_rows.select(*LOCUS, "tid", "strand", "ref", "s", "e"))
+    two = sides.select(F.lit("patterns").alias("what"), place("chrom", "strand", "pattern"), "ref", "tid", F.lit(1).cast("long").alias("w"))
     key = [*LOCUS, "s", "e"]
+    seg = nodes(exon_rows.select(*LOCUS, "tid", "strand", "ref", "s", "e"))
     known = seg.where("strand <> '.'").select(*key, "strand").distinct()
-    either = seg.where("strand = '.'").select(*key, "ref").distinct()
-    spread = either.join(known, key, "left").select(*key, F.coalesce("strand", F.lit(".")).alias("strand"), "ref")
-    both = seg.where("strand <> '.'").select(*key, "strand", "ref").unionByName(spread)
-    three = _tally(both, [*key, "strand"], "bases", F.col("e") - F.col("s"))
-    rows = one.unionByName(two).unionByName(three)
+    spread = seg.where("strand = '.'").select(*key, "ref", "tid").join(known, key, "left").select(*key, F.coalesce("strand", F.lit(".")).alias("strand"), "ref", "tid")
+    both = seg.where("strand <> '.'").select(*key, "strand", "ref", "tid").unionByName(spread)
+    three = both.select(F.lit("bases").alias("what"), place(*key, "strand"), "ref", "tid", (F.col("e") - F.col("s")).alias("w"))
+    return one.unionByName(two).unionByName(three)
+
+
+def tallies(exon_rows: DataFrame) -> DataFrame:
+    """(what, both, ref_only, test_only, precision, recall): introns, splicing patterns and bases in both sets or in one."""
+    sides = _items(exon_rows).groupBy("what", "item").agg(F.max("ref").alias("r"), F.max(~F.col("ref")).alias("t"), F.max("w").alias("w"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0)).cast("long")
+    r, t = F.col("r"), F.col("t")
+    rows = sides.groupBy("what").agg(total(r & t).alias("both"), total(r & ~t).alias("ref_only"), total(t & ~r).alias("test_only"))
     share = lambda c: F.round(F.col("both") / F.greatest(F.lit(1), F.col("both") + F.col(c)), 6)
     return rows.withColumn("precision", share("test_only")).withColumn("recall", share("ref_only"))
 
 
+def tallies_by_category(exon_rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """(what, category, n): items of the non-reference set by the category (tid, category) of their transcript, the smallest tid for shared items."""
+    mine = _items(exon_rows).where("NOT ref").join(categories, "tid").groupBy("what", "item").agg(F.min_by("category", "tid").alias("category"), F.max("w").alias("w"))
+    return mine.groupBy("what", "category").agg(F.sum("w").alias("n"))
+
+
 def impute_type(category: Column, ref_type: Column, length: Column) -> Column:
     """Gene type of a compared transcript: the reference's on the same strand (protein_coding stays), misc_RNA if short, else by category, else lincRNA."""
     table = F.create_map(*(F.lit(x) for kv in (("opp_strand", "antisense"), ("intronic_same_strand", "sense_intronic"), ("intronic_opp_strand", "antisense"), ("interleaving_same_strand", "sense_overlapping"), ("interleaving_opp_strand", "antisense"), ("encompassing_same_strand", "sense_overlapping"), ("encompassing_opp_strand", "antisense")) for x in kv))

@@ -208,6 +208,18 @@ def tallies(v: View) -> DataFrame:
     return cp.tallies(v.loci[1])
 
 
+@query("a19_tallies_by_category", CONSENSUS.replace("co AS (", "co AS MATERIALIZED (", 1) + """,
+kn AS (SELECT DISTINCT chrom, locus, seg_s, seg_e, strand FROM seg WHERE strand <> '.'),
+bo AS (SELECT chrom, locus, seg_s, seg_e, strand, tid FROM seg WHERE strand <> '.' AND NOT ref
+  UNION ALL SELECT chrom, locus, seg_s, seg_e, coalesce(kn.strand, '.'), tid FROM (SELECT chrom, locus, seg_s, seg_e, tid FROM seg WHERE strand = '.' AND NOT ref) AS z LEFT JOIN kn USING (chrom, locus, seg_s, seg_e)),
+al AS (SELECT 'introns' AS what, concat_ws(':', chrom, strand, s, e) AS item, tid, 1 AS w FROM gp WHERE NOT ref
+  UNION ALL SELECT 'patterns', concat_ws(':', chrom, strand, pattern), tid, 1 FROM pt WHERE NOT ref UNION ALL SELECT 'bases', concat_ws(':', chrom, locus, seg_s, seg_e, strand), tid, seg_e - seg_s FROM bo),
+it AS (SELECT what, item, arg_min(category, tid) AS category, max(w) AS w FROM al JOIN co USING (tid) GROUP BY what, item)
+SELECT what, category, CAST(sum(w) AS BIGINT) AS n FROM it GROUP BY what, category""")
+def tallies_by_category(v: View) -> DataFrame:
+    return cp.tallies_by_category(v.loci[1], cp.consensus(cp.locus_matches(*v.loci)).select("tid", "category"))
+
+
 @query("c15_both_directions", SEGMENTS + """,
 gp AS (SELECT * FROM (SELECT chrom, tid, strand, ref, e AS s, lead(s) OVER (PARTITION BY tid ORDER BY s) AS e FROM lex) AS i WHERE e IS NOT NULL),
 pt AS (SELECT tid, chrom, strand, ref, string_agg(s || '-' || e, ',' ORDER BY s) AS pattern FROM gp GROUP BY tid, chrom, strand, ref),
