@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import stage, table
 
 # Public license notices and texts.
 TEMPLATES = {
@@ -64,7 +64,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     units = F.when(F.size("raw") > 1, F.concat("raw", F.array(F.array_join("raw", " ")))).otherwise(F.col("raw"))
     fits = lambda u: (F.length(u) > 0) & (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))).isin(sizes)  # noqa: E731  spaces: words - 1
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), raw.alias("raw"))
-    df = df.select("row", "id", F.explode_outer(F.filter(F.transform(units, normal), fits)).alias("unit"))
+    # Written once, so that row numbers stand whatever task is run again: a row per unit of fitting size, or one for a document without any.
+    df = stage(df.select("row", "id", F.explode_outer(F.filter(F.transform(units, normal), fits)).alias("unit")), "license-units")
     words = F.split("unit", " ")
     pairs = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat_ws(" ", w, F.element_at("words", i + 2)))
     numbered = F.transform("pairs", lambda p, i: F.concat_ws(" ", p, F.size(F.filter(F.slice("pairs", 1, i + 1), lambda q: q == p)).cast("string")))
