@@ -9,8 +9,8 @@ from spanloom.llm.bpe import digests
 from spanloom.llm.common import fresh, stage, table
 from spanloom.llm.exact_dedup import exact_groups
 from spanloom.llm.langid import fit, held_out, predict
+from spanloom.llm.minhash import similar_documents
 from spanloom.llm.mixing import mix
-from spanloom.llm.simhash import near_duplicates
 
 #: Least posterior of the predicted language.
 LEAST_SCORE = 0.5
@@ -35,8 +35,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
+    return _without(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("tokens", tokenize),
 ]
-#: Language prediction, SimHash and BPE are beyond SQL: tests hold the pipeline against a brute-force version.
+#: Language prediction, MinHash and BPE are beyond SQL: tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
