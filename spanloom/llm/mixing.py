@@ -3,7 +3,8 @@
 The mix is a list of slots, each of one block of ``block`` words. Slot n belongs to the source whose interval of the cumulative target
 shares holds the golden-ratio point frac((n + 1) / phi), so any stretch of slots holds each source in nearly its share. A source's documents
 stand in hash order, and its slots, ranked, take the successive blocks of that stream, twice round at most. A document is taken
-by the words of its span that the taken blocks cover.
+by the words of its span that the taken blocks cover. A block grows with the input; a source whose target is under ``FINE`` blocks would
+get its share by a few slots or none, so its slots are void and it has one block of its own, as long as its target.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stage, table, word_count
 
 GOLDEN = (5**0.5 - 1) / 2
-#: Slots of a schedule. Their number bounds what is broadcast; a source's words come within a few parts in SLOTS of its target.
+#: Slots of a schedule. Their number bounds what is broadcast; a source's words come within a few blocks of its target.
 SLOTS = 1 << 17
+#: Least blocks of more than one word in the target of a source that is dealt by slots.
+FINE = 1000
 _BUCKET_DIGITS = 3  # of a hexadecimal hash: 4096 buckets a source
 _CHUNK = 512
 _CELLS = 4096
@@ -45,8 +48,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def with_block(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """goals (source, target) with block: the words of a slot, the same for all sources."""
-    return goals.withColumn("block", F.greatest(F.ceil(F.sum("target").over(W.partitionBy()) / slots), F.lit(1)).cast("long"))
+    """goals (source, target) with block: the words of a slot, the same for all sources; and own: the words of a source's own block, null
+    for a source dealt by slots."""
+    goals = goals.withColumn("block", F.greatest(F.ceil(F.sum("target").over(W.partitionBy()) / slots), F.lit(1)).cast("long"))
+    thin = (F.col("block") > 1) & (F.col("target") > 0) & (F.col("target") < FINE * F.col("block"))
+    return goals.withColumn("own", F.when(thin, F.greatest(F.round("target"), F.lit(1.0)).cast("long")))
 
 
 def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -87,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sized.withColumn("row", F.row_number().over(in_bucket)).withColumn("start", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("start") + F.col("offset")).drop("s", "b", "offset")
     plan = schedule(goals, slots).select(F.col("source").alias("ps"), "block_no")
-    goal = goals.select(F.col("source").alias("gs"), "source_size", "target", F.col("block").alias("width"))
+    goal = goals.select(F.col("source").alias("gs"), "source_size", "target", F.coalesce("own", "block").alias("width"), F.col("own").isNotNull().alias("alone"))
     placed = placed.join(goal, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
     rounds = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
     lo = F.col("round") * F.col("source_size") + F.col("start")
@@ -95,7 +101,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = rounds.withColumn("lo", lo).withColumn("no", F.explode_outer(blocks))
     # The schedule has at most ``slots`` rows.
     met = pieces.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("ps")) & (F.col("no") == F.col("block_no")), "left")
-    covered = F.when(F.col("block_no").isNotNull(), F.least(F.col("lo") + F.col("size"), (F.col("no") + 1) * F.col("width")) - F.greatest("lo", F.col("no") * F.col("width"))).otherwise(0)
+    dealt = F.when(F.col("alone"), F.col("no") == 0).otherwise(F.col("block_no").isNotNull())
+    covered = F.when(dealt, F.least(F.col("lo") + F.col("size"), (F.col("no") + 1) * F.col("width")) - F.greatest("lo", F.col("no") * F.col("width"))).otherwise(0)
     whole = ["id", "source", "bucket", "row", "size", "source_size", "target"]
     return met.groupBy(*whole).agg(F.sum(covered).cast("long").alias("taken")).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
 
