@@ -132,3 +132,21 @@ def known_junctions(found: DataFrame, known: DataFrame) -> DataFrame:
     chroms = known.select("chrom").distinct().withColumn("_chrom", F.lit(True))
     tagged = found.select("lib", "chrom", "s", "e").distinct().join(ref, ["chrom", "s", "e"], "left").join(chroms, "chrom", "left")
     return tagged.groupBy("lib").agg(F.count_if(F.col("_known").isNotNull()).alias("known"), F.count_if(F.col("_known").isNull() & F.col("_chrom").isNotNull()).alias("novel"), F.count_if(F.col("_chrom").isNull()).alias("no_chrom"))
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+    """rows joined with a staged table of one row per key, whose column weight (dropped) is the number of rows that have the key.
+
+    Keys with over a thousandth of all rows, of which there are under a thousand, are broadcast, so that no task gets them whole; the
+    others are shuffled. how: left or inner.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * 1000 > total
+    added = [c for c in table.columns if c not in (key, weight)]
+    hot = table.where(is_hot & F.col(key).isNotNull()).select(key, F.struct(F.lit(1).alias("_"), *added).alias("_hot"))
+    if hot.isEmpty():
+        return rows.join(table.drop(weight), key, how)
+    met = rows.join(F.broadcast(hot), key, "left")
+    cold = met.where("_hot IS NULL").drop("_hot").join(table.where(~is_hot | F.col(key).isNull()).drop(weight), key, how)
+    warm = met.where("_hot IS NOT NULL").select("*", *(F.col("_hot")[c].alias(c) for c in added)).drop("_hot")
+    return cold.unionByName(warm)

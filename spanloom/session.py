@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -27,11 +28,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package as a zip, once per application, unless their Python path already has it."""
+    """Give executors this package as a zip, once per application. Only the workers of a local master share the driver's Python path."""
     root = Path(__file__).resolve().parents[1]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    context = spark.sparkContext
+    here = re.fullmatch(r"local(\[[^\]]*\])?", context.master) and str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here or context.applicationId in _shipped:
         return
     folder = os.path.realpath(tempfile.mkdtemp(prefix="spanloom-ship-"))
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/spanloom", "zip", root, "spanloom"))
-    _shipped.add(app)
+    context.addPyFile(shutil.make_archive(f"{folder}/spanloom", "zip", root, "spanloom"))
+    _shipped.add(context.applicationId)

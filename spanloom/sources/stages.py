@@ -3,33 +3,56 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _owned: set[str] = set()
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df below spark.checkpoint.dir (a temporary folder where that is unset, as in tests) and read it back; the driver's JVM deletes the
-    application's tables when it ends."""
-    spark = df.sparkSession
-    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if not base:
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="spanloom-")
-            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-        base = f"file://{_local[app]}"
-    own = f"{base.rstrip('/')}/spanloom-stages/{app}"
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in one JVM (tests); on a cluster that is an error, as
+    each executor would write to a disk of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return f"file://{_local[app]}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application; the driver's JVM deletes the application's tables when it ends."""
+    own = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}"
     if own not in _owned:
         path = spark._jvm.org.apache.hadoop.fs.Path(own)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         fs.mkdirs(path)
         fs.deleteOnExit(path)
         _owned.add(own)
-    out = f"{own}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
