@@ -110,14 +110,31 @@ def renumber(df: DataFrame, key: str, order: Sequence[str], prefix: str, out: st
     return df.join(global_rank(firsts, ["_first", key], "_no").select(key, name(F.col("_no")).alias(out)), key)
 
 
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each (out, column) of sums, the column's sum over the rows of the same group that stand before in order.
+
+    No window holds a group: rows are range-partitioned by group and order and written with their range's number, so that inner sums and
+    offsets speak of the same ranges whatever is computed again; offsets are sums over ranges. order must be total within a group.
+    """
+    by = list(by)
+    ranged = stage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_o{k}") for k, c in enumerate(sums.values())))
+    over = W.partitionBy(*by).orderBy("_part")
+    keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
+    offsets = per.select(F.col("_part").alias("_p"), *keys, *(before(f"_o{k}", over).alias(f"_o{k}") for k in range(len(sums))))
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    inside = W.partitionBy("_part", *by).orderBy(*order)
+    out = ranged.select("*", *(before(c, inside).alias(f"_i{k}") for k, c in enumerate(sums.values()))).join(offsets, same)
+    return out.select(*df.columns, *((F.col(f"_i{k}") + F.col(f"_o{k}")).alias(name) for k, name in enumerate(sums)))
+
+
 def global_rank(df: DataFrame, order: Sequence[str], out: str, start: int = 1) -> DataFrame:
-    """df with its position in the global order, without a single-partition window; order must be total. Rows are range-partitioned and written
-    with their range's number, so that ranks and offsets speak of the same ranges whatever is computed again."""
-    ranged = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    per = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = per.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_r", rank).join(offsets, "_part").withColumn(out, F.col("_r") + F.col("_o") + (start - 1)).drop("_part", "_r", "_o")
+    """df with its position in the global order, without a single-partition window; order must be total."""
+    ranked = running(df.withColumn("_one", F.lit(1).cast("long")), [], order, {out: "_one"}).drop("_one")
+    return ranked.withColumn(out, F.col(out) + start)
 
 
 def tag_tests(tx: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
