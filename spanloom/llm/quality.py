@@ -15,13 +15,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stage, table
+from spanloom.llm.common import ship, stage, table
+from spanloom.operators.joins import lookup_join
 
 _SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A line is boilerplate in more documents of its host than the larger of this number and this share.
-MAX_DOCS, MAX_SHARE = 30, 0.002
+#: A line is boilerplate in more than MAX_DOCS documents of its host, in a small host in more than this share of them, but never in MIN_DOCS
+#: or fewer.
+MAX_DOCS, MAX_SHARE, MIN_DOCS = 30, 0.2, 3
+#: So many (host, line) pairs are broadcast (30 bytes each).
+FEW_LINES = 200_000
 #: A document is depleted with fewer words left, or a smaller part of its words.
 LEAST_LEFT, LEAST_PART = 20, 0.5
 
@@ -44,32 +48,40 @@ def repeated_words(words: list[str], window: int = 8) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
+def words_hash(words: list[str]) -> int:
+    """Signed hash of a line's words in lower case."""
+    h = xxhash.xxh64_intdigest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def line_hash(line: str) -> int:
     """Signed hash of a normalised line."""
-    h = xxhash.xxh64_intdigest(" ".join(_WORD.findall(line.lower())).encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+    return words_hash(_WORD.findall(line))
 
 
 def measure(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and a (hash, words in all its copies) for each distinct line with a word."""
     text = text or ""
-    words = _WORD.findall(text)
-    seen: set[str] = set()
+    words: list[str] = []
+    known: dict[str, int] = {}
     lines: dict[int, int] = {}
     dup = 0
     for line in text.split("\n"):
-        n = len(_WORD.findall(line))
-        if n:
-            dup += line in seen
-            seen.add(line)
-            h = line_hash(line)
-            lines[h] = lines.get(h, 0) + n
+        own = _WORD.findall(line)
+        if own:
+            words += own
+            if (h := known.get(line)) is None:
+                h = known[line] = words_hash(own)
+            else:
+                dup += 1
+            lines[h] = lines.get(h, 0) + len(own)
     chars = len(text) - sum(map(text.count, _SPACE))
     return len(words), chars, sum(map(text.count, _SYMBOLS)), dup, repeated_words(words), [{"h": h, "w": n} for h, n in lines.items()]
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id, host, the numbers of measure, lines); null hosts are one host of their own."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:long>>")
     def numbers(texts: pd.Series) -> pd.DataFrame:
@@ -79,21 +91,28 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return docs.select(F.col(id_col).alias("id"), host.alias("host"), numbers(F.col(text_col)).alias("m")).select("id", "host", "m.*")
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, removed
     (hashes of its boilerplate lines), kept.
 
     A null or empty text has no words and fails the base rules; so does any text under 20 words, or with over 30 in 100 of its words in
     repeated 8-word windows. Each row is a document: repeated rows count as many documents. An empty table gives an empty result; other
-    columns are ignored. Only line hashes are shuffled; a line in a third of all documents is counted within each task first.
+    columns are ignored. Only line hashes are shuffled; a line in a third of all documents is counted within each task first, and looked
+    up without a shuffle.
     """
     marked = stage(measures(docs, id_col, text_col, host_col), "line-hashes")
-    limits = marked.groupBy("host").agg(F.greatest(F.lit(float(max_docs)), F.count(F.lit(1)) * F.lit(max_share)).alias("most"))
+    most = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), F.count(F.lit(1)) * F.lit(max_share)))
+    limits = marked.groupBy("host").agg(most.alias("most"))
     counts = marked.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.where(F.col("n") > max_docs).join(limits, "host").where("n > most").select("host", "h", F.lit(True).alias("common"))
+    common = counts.where(F.col("n") > min_docs).join(limits, "host").where("n > most")
+    common = stage(common.select(F.struct("host", "h").alias("line_key"), "n", F.lit(True).alias("common")), "common-lines")
     fields = [c for c in marked.columns if c != "lines"]
-    lines = marked.withColumn("row", F.monotonically_increasing_id()).select("row", *fields, F.explode_outer("lines").alias("line")).select("row", *fields, "line.h", "line.w")
-    met = lines.join(common, ["host", "h"], "left")
+    lines = marked.withColumn("row", F.monotonically_increasing_id()).select("row", *fields, F.explode_outer("lines").alias("line"))
+    lines = lines.select("row", *fields, "line.h", "line.w", F.struct("host", "line.h").alias("line_key"))
+    if common.count() <= FEW_LINES:
+        met = lines.join(F.broadcast(common.drop("n")), "line_key", "left")
+    else:
+        met = lookup_join(lines, common, "line_key", "n")
     gone = F.when(F.col("common"), F.col("w")).otherwise(0)
     judged = met.groupBy("row", *fields).agg(F.sum(gone).alias("removed_words"), F.collect_list(F.when(F.col("common"), F.col("h"))).alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
@@ -129,7 +148,7 @@ b AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w,
 l AS (SELECT doc_id, source, l, {_SQL_WORDS.format("l")} AS w FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) AS x),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE len(w) > 0 GROUP BY doc_id),
 k AS (SELECT doc_id, source, lower(array_to_string(w, ' ')) AS k, sum(len(w)) AS n FROM l WHERE len(w) > 0 GROUP BY ALL),
-m AS (SELECT source AS m_source, greatest({MAX_DOCS}.0, count(*) * {MAX_SHARE}) AS most FROM d GROUP BY source),
+m AS (SELECT source AS m_source, least({MAX_DOCS}.0, greatest({MIN_DOCS}.0, count(*) * {MAX_SHARE})) AS most FROM d GROUP BY source),
 c AS (SELECT source AS c_source, k AS c_k FROM k JOIN m ON source IS NOT DISTINCT FROM m_source GROUP BY source, k, most HAVING count(*) > most),
 gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM k JOIN c ON k = c_k AND source IS NOT DISTINCT FROM c_source GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w) AS x),
