@@ -19,4 +19,12 @@ def test_small_sources_of_a_large_mix_meet_their_targets(spark):
     block = sum(target.values()) / mixing.SLOTS
     assert all(target[s] < block for s in target if s[0] == "s")  # under one slot
     for s in target:
-        assert abs(taken[s] - target[s]) <= max(0.5, 0.005 * target[s])
+        assert abs(taken[s] - target[s]) <= 0.5
+
+
+def test_tiny_sources_beside_a_large_one(spark):
+    tiny = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("four words stand here").alias("text"), F.format_string("s%02d", "id").alias("source"))
+    large = spark.range(100, 110).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 100_000).alias("text"), F.lit("large").alias("source"))
+    got = rows(mixing.mix(tiny.unionByName(large)))
+    assert {(r["target"], r["taken"]) for r in got if r["source"] != "large"} == {(8.0, 8)}
+    assert sum(r["taken"] for r in got) == round(1.5 * 1_000_080)
