@@ -11,20 +11,25 @@ import hashlib
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import ship, table
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A worker forgets its words, or its pairs, when it knows so many.
 CACHED = 200_000
+#: Words that are encoded, hashed and decoded at a time, so that a long text's ids never stand in memory as a whole.
+CHUNK = 4096
 _END = 256  # added to the code of a word's last byte
 
 
@@ -60,8 +65,9 @@ class Encoder:
         for i, s in symbols.items():
             self.ends.add_word(s, (i, len(s)))
         self.ends.make_automaton()
+        self.name_list = np.array([self.names.get(i) for i in range(max(self.names) + 1)], dtype=object)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the symbols of two tokens, merged together, give these two tokens.
@@ -115,11 +121,11 @@ class Encoder:
     def length(self, token: int) -> int:
         return sum(map(self.length, self.parts[token])) if token in self.parts else 1
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """Of each word and special token: ids as little-endian unsigned 32-bit integers, and their names joined by spaces."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of each word and special token, as little-endian unsigned 32-bit integers."""
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                yield struct.pack("<I", self.added[part]), part
+                yield struct.pack("<I", self.added[part])
                 continue
             part = unicodedata.normalize("NFC", part)
             part = part.lower() if "Σ" not in part else "".join(map(str.lower, part))  # by character: no final-sigma rule
@@ -128,18 +134,19 @@ class Encoder:
                     if len(self.words) >= CACHED:
                         self.words.clear()
                     ids = self.encode_word(word)
-                    known = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids))
+                    known = struct.pack(f"<{len(ids)}I", *ids)
                     if len(word) < 64:
                         self.words[word] = known
                 yield known
 
     def encode(self, text: str) -> list[int]:
-        raw = b"".join(ids for ids, _ in self.pieces(text))
-        return list(struct.unpack(f"<{len(raw) // 4}I", raw))
+        return np.frombuffer(b"".join(self.pieces(text)), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """Token names joined by spaces, as the file names no decoder."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, ids: Sequence[int]) -> str:
+        """Token names joined by spaces, as the file names no decoder; unknown ids are skipped."""
+        ids = np.asarray(ids, np.int64)
+        names = self.name_list[ids[(ids >= 0) & (ids < len(self.name_list))]]
+        return " ".join([n for n in names.tolist() if n is not None])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -160,6 +167,7 @@ def _read(path: str) -> str:
 
 def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """docs with the array of token ids of a text added. Null counts as empty; an empty text has no ids."""
+    ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
 
     @F.pandas_udf("array<int>")
@@ -172,6 +180,7 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", tokenizer:
 
 def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", tokenizer: str = TOKENIZER) -> DataFrame:
     """docs with the decoded text of an array of ids added; null counts as no ids, unknown ids are skipped."""
+    ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
 
     @F.pandas_udf("string")
@@ -183,32 +192,25 @@ def decode(docs: DataFrame, ids_col: str = "ids", out: str = "decoded", tokenize
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding and of what that decodes to; ids never leave the worker."""
+    """id_col, n_tokens, ids_sha256 and decoded_sha256 of each row's encoding and of what its ids decode to; ids never leave the worker. Null
+    counts as empty; an empty table gives an empty result; repeated rows give equal rows."""
     spec = docs.sparkSession.sparkContext.broadcast(_read(tokenizer))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         enc, rows = encoder(spec.value), []
         for text in texts:
-            ids, names, n, between = hashlib.sha256(), hashlib.sha256(), 0, ""
-            chunk: list[tuple[bytes, str]] = []
-
-            def add() -> None:
-                nonlocal n, between
-                raw = b"".join(c[0] for c in chunk)  # noqa: B023
-                n += len(raw) // 4
-                ids.update(raw)  # noqa: B023
-                names.update((between + " ".join(c[1] for c in chunk)).encode())  # noqa: B023
-                between = " "
-                chunk.clear()  # noqa: B023
-
-            for piece in enc.pieces(text or ""):
-                chunk.append(piece)
-                if len(chunk) == 4096:
-                    add()
-            if chunk:
-                add()
-            rows.append((n, ids.hexdigest(), names.hexdigest()))
+            of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+            pieces = enc.pieces(text or "")
+            while chunk := list(islice(pieces, CHUNK)):
+                raw = b"".join(chunk)
+                ids = np.frombuffer(raw, "<u4")
+                of_ids.update(raw)
+                of_text.update((" " if n else "").encode() + enc.decode(ids).encode())
+                n += len(ids)
+            rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("_d")).select(id_col, "_d.*")

@@ -15,17 +15,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import fresh, stage, table
+from spanloom.llm.common import fresh, ship, stage, table
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Expected number of labelled texts per language that the piece probabilities are fitted on; texts are picked by a hash of their id.
 SAMPLE_DOCS = 400
-#: A worker forgets its words when it knows so many; it scores texts together until they have BATCH words.
-CACHED_WORDS = 300_000
+#: A worker forgets its words when it knows so many, or when their scores take CACHED_BYTES; it scores texts together until they have BATCH words.
+CACHED_WORDS, CACHED_BYTES = 300_000, 64 << 20
 BATCH = 50_000
 _CUT, _LONGEST = 32, 16
 _MARK = "▁"
@@ -135,7 +136,8 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((CACHED_WORDS + 1, len(self.languages)))
+        self.most = max(1, min(CACHED_WORDS, CACHED_BYTES // (8 * max(1, len(self.languages)))))
+        self.table = np.zeros((self.most, len(self.languages)))
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log probability of each."""
@@ -149,10 +151,11 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         flat = [w for t in texts for w in t]
-        for at in range(0, len(flat), 2 * BATCH):
-            part = flat[at : at + 2 * BATCH]
+        step = min(2 * BATCH, self.most)
+        for at in range(0, len(flat), step):
+            part = flat[at : at + step]
             new = list({w for w in part if w not in self.known})
-            if len(self.known) + len(new) > CACHED_WORDS:
+            if len(self.known) + len(new) > self.most:
                 self.known.clear()
                 new = list(set(part))
             if new:
@@ -167,6 +170,7 @@ class Model:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, rounds: int = 2) -> Model:
     """Piece probabilities per language from rows with a label and a text."""
     spark = labelled.sparkSession
+    ship(spark)
     pieces = Pieces.read(vocabulary)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
@@ -213,6 +217,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     A null text, or one without a letter, is ``und`` with score 0, as is any text when no language was learned; ties go to the first
     language by name. No shuffle; repeated rows get equal predictions; only the text is an input.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.probs))
 
     @F.pandas_udf("lang string, score double")
