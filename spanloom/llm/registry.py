@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, warc
 
 
+OPERATORS = (
+    sharding.op1_ring_sharding,
+    langid.op2_language_id,
+    simhash.op3_simhash_near_dedup,
+    chat.op4_chat_format,
+    warc.op5_warc_transactions,
+    licenses.op6_license_scan,
+    quality.op7_quality_rules,
+    mixing.op8_mix_to_weights,
+    bpe.op9_bpe,
+    exact_dedup.op10_exact_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [sharding.op1_ring_sharding, langid.op2_language_id, simhash.op3_simhash_near_dedup, chat.op4_chat_format, warc.op5_warc_transactions, licenses.op6_license_scan, quality.op7_quality_rules, mixing.op8_mix_to_weights, bpe.op9_bpe, exact_dedup.op10_exact_dedup]
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op4_chat_format": chat.OP4_SQL, "op5_warc_transactions": warc.OP5_SQL, "op6_license_scan": licenses.OP6_SQL, "op7_quality_rules": quality.OP7_SQL, "op8_mix_to_weights": mixing.OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {
+        "op4_chat_format": chat.OP4_SQL,
+        "op5_warc_transactions": warc.OP5_SQL,
+        "op6_license_scan": licenses.OP6_SQL,
+        "op7_quality_rules": quality.OP7_SQL,
+        "op8_mix_to_weights": mixing.OP8_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+    }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from spanloom.llm import minhash
+from spanloom.llm import minhash, simhash
 from tests.llm.test_ops import DOCS, brute_fingerprint, rows, union
 
 
@@ -36,7 +36,7 @@ def planted(seed=5):
 
 def test_similar_documents_equal_brute_force(spark):
     data = planted()
-    got = rows(minhash.similar_documents(spark.createDataFrame(data, "doc_id long, text string").withColumn("node", F.lit(1))))
+    got = rows(simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").withColumn("node", F.lit(1)), shingle=5, least=0.8))
     ids = [i for i, _ in data]
     links = [(a, b) for a, x in data for b, y in data if a < b and similarity(x, y) >= 0.8]
     want = union(ids, links)
@@ -44,22 +44,48 @@ def test_similar_documents_equal_brute_force(spark):
     assert len(set(want.values())) < len(want) - 20
 
 
+def links_of(spark, texts, **options):
+    by = {minhash.node(h): h for h in map(minhash.shingles, texts)}
+    data = []
+    for n, h in by.items():
+        keys, sig = minhash.sketch(h)
+        data.append((n, len(h), keys.tolist(), sig))
+    sets = spark.createDataFrame(data, "node long, n long, keys array<long>, sig binary")
+    bodies = spark.createDataFrame([(n, h.tobytes()) for n, h in by.items()], "node long, body binary")
+    pairs = [(r["u"], r["v"]) for r in rows(minhash.similar_links(sets, lambda nodes: bodies.join(nodes, "node"), **options))]
+    return by, pairs
+
+
 @pytest.mark.parametrize("crowd", [2, 64])
 def test_a_crowd_is_one_group(spark, crowd):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(400)]
-    texts = [" ".join([*words, f"tail{i}", rng.choice(words)]) for i in range(60)]
-    by = {minhash.node(h): h for h in map(minhash.shingles, texts)}
-    sets = spark.createDataFrame([(n, len(h), minhash.keys(h).tolist()) for n, h in by.items()], "node long, n long, keys array<long>")
-    bodies = spark.createDataFrame([(n, h.tobytes()) for n, h in by.items()], "node long, body binary")
-    pairs = [(r["u"], r["v"]) for r in rows(minhash.similar_links(sets, lambda nodes: bodies.join(nodes, "node"), crowd=crowd))]
+    by, pairs = links_of(spark, [" ".join([*words, f"tail{i}", rng.choice(words)]) for i in range(60)], crowd=crowd)
     assert len(set(union(by, pairs).values())) == 1
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_a_crowd_of_many_groups(spark, block):
+    """Texts that share two thirds of their words meet under the same keys; pairs among them are found though no hub links them."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for g in range(40):
+        own = base[:200] + [f"g{g}x{k}" for k in range(100)]
+        for _ in range(rng.choice([1, 2, 3])):
+            copy = list(own)
+            copy[rng.randrange(200, 300)] = f"c{rng.random()}"
+            texts.append(" ".join(copy))
+    by, pairs = links_of(spark, texts, crowd=2, block=block)
+    each = list(by.items())
+    want = [(a, b) for i, (a, x) in enumerate(each) for b, y in each[:i] if minhash.jaccard(x, y) >= 0.8]
+    assert want and union(by, pairs) == union(by, want)
+
+
 def test_odd_identifiers(spark):
     twice = spark.createDataFrame([(1, "a b c d"), (1, "x y z"), (5, "x y z"), (None, "x y z")], "doc_id long, text string")
-    assert [r["component_id"] for r in rows(minhash.similar_documents(twice))] == [1] * 4
-    assert minhash.similar_documents(twice.limit(0)).count() == 0
+    assert [r["component_id"] for r in rows(simhash.near_duplicates(twice, shingle=5, least=0.8))] == [1] * 4
+    assert simhash.near_duplicates(twice.limit(0), shingle=5, least=0.8).count() == 0
 
 
 def test_stage_drops_copies_beyond_three_bits(spark, sf_dir):
