@@ -2,56 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.session import ship
+from spanloom.sources.stages import discard, new_path, stage
+
+__all__ = ["WORD", "bits_for", "discard", "fresh", "key_bits", "may_hold", "new_path", "numbered", "ship", "stage", "table", "word_count"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-_local: dict[str, str] = {}
-_owned: set[str] = set()
+#: Least and most bits of a filter that is broadcast: 4 KiB to 64 MiB.
+FEWEST_BITS, MOST_BITS = 1 << 15, 1 << 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests in one JVM)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="spanloom-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return f"file://{_local[app]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a table of this application in the shared folder; the driver's JVM deletes the application's tables when it ends."""
-    own = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}"
-    if own not in _owned:
-        path = spark._jvm.org.apache.hadoop.fs.Path(own)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _owned.add(own)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until df has no such column."""
     while name in df.columns:
@@ -59,6 +27,36 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df written with a number for each row in the column name, so that rows are told apart whatever their identifiers are."""
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bits_for(keys: int) -> int:
+    """Bits of a filter for so many keys: a power of two, 16 a key or more, within the bounds. Beyond MOST_BITS / 16 keys more rows pass
+    than must; results don't change."""
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << max(0, 16 * keys - 1).bit_length()))
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def key_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """The filter of the keys: a bitmap with one bit a key, in bits / 32768 rows of 4 KiB at most."""
+    at = _bit(F.col(key), bits)
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+
+
+def may_hold(rows: DataFrame, key: Column, filter_rows: DataFrame, bits: int, small: bool = True) -> DataFrame:
+    """Rows whose key may be in the filter; small: broadcast it (MOST_BITS / 8 bytes at most)."""
+    at = _bit(key, bits)
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at))
+    met = met.join(F.broadcast(filter_rows) if small else filter_rows, "_bucket")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_bucket", "_at", "_bits")

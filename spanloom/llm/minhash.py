@@ -1,24 +1,30 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide.
+"""Sets of word shingles: similarity, and the pairs that bands of least hashes propose (for operator 3, where fingerprints lie too far apart).
 
-A set of shingles has ``BANDS`` keys, each of ``ROWS`` least values under a hash function of its own. Sets of Jaccard similarity s share a
-key with a chance of 1 - (1 - s^ROWS)^BANDS: all but 4 in 100,000 at 0.8. Sets that share a key are compared whole: each with each up to
-``CROWD`` sets of a key, beyond that each with the least and the greatest, so pairs grow with the rows and not with their square. What
-reaches the similarity is linked; components are made of links.
+A set has ``BANDS`` keys, each of ``ROWS`` least values under hash functions of its own. Sets of Jaccard similarity s share a key with a
+chance of 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 at 0.8. Up to ``CROWD`` sets of a key are compared each with each, beyond that
+each with the least and the greatest; sets of a crowd that are then not yet connected are compared in blocks by their least values, and
+whole where these allow the similarity. Pairs so grow with the rows and not with their square, and none is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.blocks import BLOCK, meetings
 from spanloom.llm.common import stage
-from spanloom.llm.components import components
+from spanloom.operators.components import components
+from spanloom.operators.joins import lookup_join
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, CROWD = 25, 5, 16
+#: Below the similarity by so much, the share of equal least values rules a pair out: four standard deviations of the estimate at 0.8.
+MARGIN = 0.15
 #: Elements of a matrix of values by hash functions.
 _CELLS = 1 << 20
 _rng = np.random.default_rng(42)
@@ -43,14 +49,15 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set's bands."""
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Of a set: the keys of its bands, and the low 16 bits of its least values."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     step = _CELLS // len(least)
     for at in range(0, len(hashes), step):
         least = np.minimum(least, (hashes[at : at + step, None] * _ODD + _ADD).min(axis=0))
     raw = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=k) for k, band in enumerate(raw)], np.uint64).view(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=k) for k, band in enumerate(raw)], np.uint64).view(np.int64)
+    return keys, (least >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
 def node(hashes: np.ndarray) -> int:
@@ -65,61 +72,77 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_links(sets: DataFrame, bodies, least: float = LEAST, crowd: int = CROWD) -> DataFrame:
-    """sets (node, n, keys), distinct nodes -> links (u, v) of nodes whose sets reach the similarity. bodies(nodes) gives (node, body),
-    the sets' hashes as bytes, once for each of the given nodes."""
+def _alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Of each block the residents, then those that ask: pairs of different components whose sizes and least values allow the similarity."""
+    block, homes, sigs = None, None, None
+    for batch in batches:
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for (leaf, cell), rows in batch.groupby(["leaf", "cell"], sort=True):
+            if (leaf, cell >> 1) != block:
+                block, homes, sigs = (leaf, cell >> 1), None, None
+            own = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+            if not cell & 1:
+                homes, sigs = (rows, own) if homes is None else (pd.concat([homes, rows]), np.concatenate([sigs, own]))
+                continue
+            if homes is None:
+                continue
+            for at in range(0, len(rows), 64):
+                part = rows.iloc[at : at + 64]
+                ok = (own[at : at + 64, None] == sigs[None]).mean(axis=2) >= least - MARGIN
+                small, large = np.minimum.outer(part["n"].to_numpy(), homes["n"].to_numpy()), np.maximum.outer(part["n"].to_numpy(), homes["n"].to_numpy())
+                ok &= (small >= least * large - 1e-9) & (part["label"].to_numpy()[:, None] != homes["label"].to_numpy()[None])
+                r, c = np.nonzero(ok)
+                a, b = part["node"].to_numpy()[r], homes["node"].to_numpy()[c]
+                us.append(np.maximum(a, b))
+                vs.append(np.minimum(a, b))
+        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
+
+
+def _apart(crowds: DataFrame, sets: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs (u, v) of sets under one crowded key (crowds: key, node, n) that links don't connect and that may reach the similarity."""
+    comp = components(links).withColumnRenamed("node", "_member")
+    labelled = crowds.join(comp, F.col("node") == F.col("_member"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    labelled = stage(labelled, "crowds")
+    by_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = by_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rest = labelled.join(main, "key").join(sets.select("node", "sig"), "node")
+    rest = stage(rest.select(F.col("key").alias("leaf"), "node", "n", "label", "sig", (F.col("label") != F.col("most.label")).alias("stray")), "open-crowds")
+    fields = ["leaf", "node", "n", "label", "sig"]
+    laid = meetings(rest.where("stray").select(*fields), rest.select(*fields), block, own="node", inside=False)
+    return laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long").distinct()
+
+
+def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], least: float = LEAST, crowd: int = CROWD, proposed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """sets (node, n, keys, sig), distinct nodes -> links (u, v) of nodes whose sets reach the similarity; every two similar sets are connected
+    by links. bodies(nodes) gives (node, body), the sets' hashes as bytes, once for each of the given nodes; proposed: more pairs (u, v)
+    to be decided on."""
     each = sets.select("node", "n", F.explode("keys").alias("key"))
-    by_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("m > 1")
-    met = stage(each.join(by_key, "key"), "band-keys")
-    few = met.where(F.col("m") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g"))
+    ends = F.struct("node", "n")
+    by_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(ends).alias("lo"), F.max(ends).alias("hi")).where("m > 1")
+    by_key = stage(by_key.withColumn("rows", F.col("m")), "shared-keys")
+    met = stage(lookup_join(each, by_key, "key", "rows", "inner"), "band-keys")
+    few = met.where(F.col("m") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(ends)).alias("g"))
     few = few.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", 1, F.col("i"))).alias("b"))
-    many = met.where(F.col("m") > crowd).select(F.struct("node", "n").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    many = met.where(F.col("m") > crowd).select(ends.alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
     found = few.unionByName(many).where("a.node <> b.node").where(F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n") - 1e-9)
-    ends = F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")
-    pairs = stage(found.select(*ends).distinct(), "similar-pairs")
-    body = stage(bodies(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "shingle-sets")
+    found = found.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    if proposed is not None:
+        found = found.unionByName(proposed.select("u", "v"))
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    of = lambda end, name: body.select(F.col("node").alias(end), F.col("body").alias(name))
-    whole = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-    return whole.where(similarity("a", "b") >= least - 1e-9).select("u", "v")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """One row per row of docs: id_col, component_id (smallest identifier reachable through links, itself included).
-
-    Texts whose words differ in case and white space only are equal; texts without words are equal to each other. Identifiers as in
-    simhash.near_duplicates.
-    """
-
-    @F.pandas_udf("node long, n long, keys array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, shingle) for t in texts]
-        return pd.DataFrame({"node": [node(h) for h in found], "n": [len(h) for h in found], "keys": [keys(h) for h in found]})
-
-    @F.pandas_udf("node long, body binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, shingle) for t in texts]
-        return pd.DataFrame({"node": [node(h) for h in found], "body": [h.tobytes() for h in found]})
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = stage(texts.select("id", sketch("text").alias("m")).select("id", "m.*"), "shingle-sketches")
-    reps = stage(marked.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-reps")
-
-    def bodies(nodes: DataFrame) -> DataFrame:
-        wanted = reps.join(nodes, "node").select(F.col("rep").alias("w")).distinct()
-        read = texts.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select(whole("text").alias("m")).select("m.*")
-        return read.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-
-    # One identifier can stand for several texts: what its texts link is linked too.
-    shared = marked.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w AND id IS NOT NULL")
-    twins = marked.join(shared, "id").select(F.col("node").alias("u"), "v")
-    comp = components(similar_links(reps.select("node", "n", "keys"), bodies, least).unionByName(twins)).withColumnRenamed("node", "member")
-    linked = reps.join(comp, F.col("node") == F.col("member")).select("node", "rep", "component")
-    lowest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(lowest, "component").select("node", "component_id")
-    known = reps.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(known, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    def decided(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-pairs")
+        body = stage(bodies(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "shingle-sets")
+        of = lambda end, name: body.select(F.col("node").alias(end), F.col("body").alias(name))
+        whole = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
+        return stage(whole.where(similarity("a", "b") >= least - 1e-9).select("u", "v"), "similar-links")
+
+    links = decided(found)
+    crowds = met.where(F.col("m") > crowd).select("key", "node", "n")
+    if crowds.isEmpty():
+        return links
+    more = stage(_apart(crowds, sets, links, least, block), "crowd-pairs")
+    return links if more.isEmpty() else links.unionByName(decided(more))

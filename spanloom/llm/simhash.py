@@ -1,18 +1,21 @@
 """Operator 3: SimHash near-duplicates, linked through vantage-point trees over Hamming distance.
 
-Fingerprints within ``radius`` of each other differ by at most ``radius // 2`` bits in one half of their 64 bits, so each half has a tree of
-its own. Level j of a tree splits by the distance to vantage point j; a leaf is the list of these distances. By the triangle inequality a
-half within 1 bit of another is, at every level, at the same distance (equal halves) or exactly one nearer or farther (one bit): a
-fingerprint asks its own leaf and the boundary leaves of all such steps, and no other leaf can hold a partner. Of two halves one bit apart
-just one has even parity, and only that one asks abroad. Each leaf then compares whole fingerprints, in blocks, and reports the
+Fingerprints within ``radius`` (3 at most) of each other differ by at most one bit in one half of their 64 bits, so each half has a tree of
+its own. A node of a tree has its own vantage point and splits by the distance to it; a leaf is the path of these distances. By the triangle
+inequality a half within 1 bit of another is, at every node, at the same distance (equal halves) or exactly one nearer or farther (one
+bit): a fingerprint asks its own leaf and the boundary leaves of all such steps, and no other leaf can hold a partner. Of two halves one
+bit apart just one has even parity, and only that one asks abroad. Each leaf then compares whole fingerprints, in blocks, and reports the
 components that it sees (a star per component, not all pairs); these links are joined into components over all leaves.
+
+With ``least``, links are decided by the Jaccard similarity of the sets of word shingles. At a similarity of 0.8 fingerprints lie 4 to 16
+bits apart, where the bounds of a tree over 64 bits prune next to nothing; so bands of least hashes (minhash.py) propose what the trees
+don't reach, and whole sets decide on what either proposes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -20,12 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stage, table
-from spanloom.llm.components import components
+from spanloom.llm import minhash
+from spanloom.llm.blocks import BLOCK, meetings
+from spanloom.llm.common import bits_for, key_bits, may_hold, ship, stage, table
+from spanloom.operators.components import components
+from spanloom.operators.joins import lookup_join
 
-#: Most residents of a leaf that one block holds, and how many rows to each of these may ask there.
-BLOCK, ASKS = 512, 8
 _BASE = 40  # distances within a half, with room for the steps: 0 to 33
+_MOST_LEVELS = 11  # a path fits a long
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -46,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): fp holds the 64 bits as a signed long. One row per row of docs."""
+    ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
@@ -54,30 +60,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"))
 
 
-def vantage_points(half: int, levels: int) -> list[int]:
-    return [xxhash.xxh32_intdigest(f"vantage {half} {j}") for j in range(levels)]
-
-
 def tree_levels(n: int) -> int:
     """Each level thins a leaf about tenfold and doubles the leaves that are asked; a leaf is to hold about a hundred residents."""
-    return max(4, math.ceil(math.log10(max(n, 1) / 500)))
+    return min(_MOST_LEVELS, max(4, math.ceil(math.log10(max(n, 1) / 500))))
 
 
-def _trees(fp: Column, levels: int) -> list[tuple[Column, Column]]:
-    """For each tree: the home leaf, and the array of boundary leaves that this fingerprint asks (null where its partner asks instead)."""
-    out = []
-    for half in (0, 1):
-        block = F.shiftrightunsigned(fp, 32 * half).bitwiseAND((1 << 32) - 1)
-        home = F.lit(half * _BASE**levels)
-        for j, v in enumerate(vantage_points(half, levels)):
-            home = home + (F.bit_count(block.bitwiseXOR(F.lit(v))) + 1) * F.lit(_BASE**j)
-        steps = F.array(*(F.lit(sum(e * _BASE**j for j, e in enumerate(es))) for es in product((-1, 1), repeat=levels)))
-        out.append((home.cast("long"), F.when(F.bit_count(block) % 2 == 0, _moved(steps, home))))
-    return out
+def _tree(fp: Column, half: int, levels: int) -> tuple[Column, Column]:
+    """Of one half's tree: the home leaf, and the array of boundary leaves that this fingerprint asks (null where its partner asks instead)."""
+    mask, base, one = F.lit((1 << 32) - 1), F.lit(_BASE).cast("long"), F.lit(1).cast("long")
+    depth, root = F.array(*map(F.lit, range(levels))), F.lit(half + 1).cast("long")
+    block = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(mask)
 
+    def child(path: Column, step: Column) -> Column:
+        """The path to the child at this distance, moved by step - 1. A node's vantage point is a hash of the path to it."""
+        point = F.xxhash64(path, F.lit(half)).bitwiseAND(mask)
+        return path * base + F.bit_count(block.bitwiseXOR(point)) + step
 
-def _moved(steps: Column, home: Column) -> Column:
-    return F.transform(steps, lambda s: (home + s).cast("long"))
+    home = F.aggregate(depth, root, lambda path, _: child(path, one))
+    moved = lambda path: F.transform(F.array(one - 1, one + 1), lambda step: child(path, step))
+    abroad = F.aggregate(depth, F.array(root), lambda paths, _: F.flatten(F.transform(paths, moved)))
+    return home, F.when(F.bit_count(block) % 2 == 0, abroad)
 
 
 def _stars(rows: np.ndarray, homes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +106,18 @@ def _stars(rows: np.ndarray, homes: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _search(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key: of each block the residents, then those that ask, which stream past them."""
+    """Rows come sorted by leaf and cell: of each block the residents, then those that ask, which stream past them."""
     block, homes = None, np.empty(0, np.int64)
     for batch in batches:
-        key, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        leaf, cell, fps = batch["leaf"].to_numpy(), batch["cell"].to_numpy(), batch["fp"].to_numpy()
+        new = np.r_[True, (leaf[1:] != leaf[:-1]) | (cell[1:] != cell[:-1])] if len(leaf) else np.empty(0, bool)
+        starts = np.flatnonzero(new)
         found = []
-        for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
-            own, rows = key[lo] >> 1, fps[lo:hi]
+        for lo, hi in zip(starts, [*starts[1:], len(leaf)], strict=True):
+            own, rows = (leaf[lo], cell[lo] >> 1), fps[lo:hi]
             if own != block:
                 block, homes = own, rows[:0]
-            if key[lo] & 1:
+            if cell[lo] & 1:
                 if len(homes):
                     found.append(_stars(rows, homes, radius))
                 continue
@@ -125,59 +128,88 @@ def _search(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFra
         yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
 
-def near_links(points: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """points (fp), distinct -> links (u, v) between fingerprints whose components are those of all pairs within radius (3 at most)."""
+def near_links(points: DataFrame, radius: int = 3, block: int = BLOCK, levels: int | None = None) -> DataFrame:
+    """points (fp), distinct -> links (u, v) between fingerprints whose components are those of all pairs within radius (3 at most).
+    levels: depth of the trees, by the number of points where it is not given."""
     if not 0 <= radius <= 3:
         raise ValueError("two halves and steps of one bit cover radius 0 to 3")
-    levels = tree_levels(points.count())
-    fp = F.col("fp")
-    trees = _trees(fp, levels)
+    ship(points.sparkSession)
+    levels = levels or tree_levels(points.count())
+    trees = [_tree(F.col("fp"), half, levels) for half in (0, 1)]
     residents = points.select("fp", F.explode(F.array(*(home for home, _ in trees))).alias("leaf"))
     none = F.array().cast("array<bigint>")
     asked = points.select("fp", F.explode(F.concat(*(F.coalesce(abroad, none) for _, abroad in trees))).alias("leaf"))
-    # Crowded leaves are cut in parts, residents in ``home_parts`` and those that ask in ``ask_parts``.
-    sizes = residents.select("leaf", F.lit(0).alias("asks")).unionByName(asked.select("leaf", F.lit(1).alias("asks"))).groupBy("leaf").agg(F.sum(1 - F.col("asks")).alias("n"), F.sum("asks").alias("m"))
-    cut = lambda c, size: F.least(F.greatest(F.ceil(F.col(c) / size), F.lit(1)), F.lit(1 << 12)).cast("int")
-    crowded = sizes.where((F.col("n") > block) | ((F.col("m") > ASKS * block) & (F.col("n") > 0))).select("leaf", cut("n", block).alias("home_parts"), cut("m", ASKS * block).alias("ask_parts"))
-    crowded = stage(crowded, "crowded-leaves")
-    # Key: leaf, part of the residents, part of those that ask, and whether the row asks.
-    key = lambda i, j, asks: F.col("leaf") * (1 << 25) + i * (1 << 13) + j * 2 + asks
-    n = crowded.count()
-    if not n:
-        whole = lambda asks: key(F.lit(0), F.lit(0), F.lit(asks)).alias("key")
-        rows = residents.select(whole(0), "fp").unionByName(asked.select(whole(1), "fp"))
-    else:
-        parts = F.broadcast(crowded) if n <= 10_000 else crowded
-        own = lambda c: F.pmod(F.xxhash64("fp"), F.coalesce(c, F.lit(1))).cast("long")
-        every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).alias("other")
-        here, there = residents.join(parts, "leaf", "left"), asked.join(parts, "leaf", "left")
-        # Each part of the residents meets each part of those that ask; residents of several parts ask the parts as well.
-        there = here.where("home_parts > 1").unionByName(there)
-        here = here.select("leaf", "fp", own("home_parts").alias("own"), every("ask_parts")).select(key(F.col("own"), F.col("other"), F.lit(0)).alias("key"), "fp")
-        there = there.select("leaf", "fp", own("ask_parts").alias("own"), every("home_parts")).select(key(F.col("other"), F.col("own"), F.lit(1)).alias("key"), "fp")
-        rows = here.unionByName(there)
-    laid = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    laid = meetings(residents, asked, block, own="fp", inside=True)
     return laid.mapInPandas(lambda batches: _search(batches, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def _classes(marked: DataFrame, node: str, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """marked (id, node) with component_id: the smallest identifier that links reach. reps: (node, rep, m), staged, one row per node."""
+    # One identifier can stand for several texts: what these link is linked too.
+    shared = marked.groupBy("id").agg(F.min(node).alias("v"), F.max(node).alias("w")).where("v <> w AND id IS NOT NULL")
+    twins = marked.join(shared, "id").select(F.col(node).alias("u"), "v")
+    comp = components(links.unionByName(twins)).withColumnRenamed("node", "_member")
+    linked = reps.join(comp, F.col(node) == F.col("_member")).select(node, "rep", "component")
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = linked.join(lowest, "component").select(node, "component_id")
+    known = reps.join(named, node, "left").select(node, "m", F.coalesce("component_id", "rep").alias("component_id"))
+    return lookup_join(marked, stage(known, "classes"), node, "m")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, least: float | None = None) -> DataFrame:
     """One row per row of docs: id_col, fp (signed long), component_id (smallest identifier reachable through links, itself included).
 
-    A null or empty text has fingerprint 0 and links like any other. Equal fingerprints always link. Identifiers are integers; rows that
-    repeat one share its links. A null identifier can't be named by a component: its rows get the smallest identifier that their
-    fingerprint reaches, null if there is none. An empty table gives an empty result; other columns are ignored.
+    Without least, fingerprints within radius link: a null or empty text has fingerprint 0 and links like any other, equal fingerprints
+    always link. With least, texts link whose sets of shingles have a Jaccard similarity of least or more: texts that differ in
+    case and white space only are equal, texts without words are equal to each other.
+
+    Identifiers are of any type that has an order; rows that repeat one share its links. A null identifier can't be named by a component:
+    its rows get the smallest identifier that their text reaches, null if there is none. An empty table gives an empty result; other
+    columns are ignored. Only with least are texts read again: those of which a pair was proposed.
     """
-    marked = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = stage(marked.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-reps")
-    # One identifier can stand for several texts: what its fingerprints link is linked too.
-    shared = marked.groupBy("id").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w AND id IS NOT NULL")
-    twins = marked.join(shared, "id").select(F.col("fp").alias("u"), "v")
-    comp = components(near_links(reps.select("fp"), radius).unionByName(twins))
-    linked = reps.join(comp, reps["fp"] == comp["node"]).select("fp", "rep", "component")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
-    known = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return marked.join(known, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    if least is None:
+        marked = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        reps = stage(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "fingerprint-reps")
+        known = _classes(marked, "fp", reps, near_links(reps.select("fp"), radius))
+        return known.select(F.col("id").alias(id_col), "fp", "component_id")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("fp long, node long, n long, keys array<long>, sig binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [minhash.shingles(t, shingle) for t in texts]
+        rows = [(minhash.node(s), len(s), *minhash.sketch(s)) for s in sets]
+        out = pd.DataFrame(rows, columns=["node", "n", "keys", "sig"])
+        out.insert(0, "fp", np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        return out
+
+    @F.pandas_udf("node long, body binary")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        sets = [minhash.shingles(t, shingle) for t in texts]
+        return pd.DataFrame({"node": [minhash.node(s) for s in sets], "body": [s.tobytes() for s in sets]})
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = stage(texts.select("id", sketch("text").alias("k")).select("id", "k.*"), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("n", "keys", "sig")]
+    reps = stage(marked.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), *firsts), "sketch-reps")
+    # What the trees propose, told by sets: a fingerprint stands for the least of its sets, and is proposed to the others.
+    by_fp = stage(marked.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "set-of-fingerprint")
+    near = near_links(by_fp.select("fp"), radius)
+    end = lambda name: by_fp.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_set"))
+    proposed = near.join(end("u"), "u").join(end("v"), "v").select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
+    mixed = marked.join(by_fp.where("first <> last"), "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    proposed = proposed.unionByName(mixed).where("u <> v")
+
+    def bodies(nodes: DataFrame) -> DataFrame:
+        wanted = stage(reps.join(nodes, "node").select(F.col("rep").alias("w")).distinct(), "wanted")
+        bits = bits_for(wanted.count())
+        # Few texts are wanted: the filter keeps the others out of the shuffle.
+        likely = may_hold(texts, F.col("id"), key_bits(wanted, "w", bits), bits)
+        read = likely.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select(whole("text").alias("k")).select("k.*")
+        return read.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+
+    links = minhash.similar_links(reps.select("node", "n", "keys", "sig"), bodies, least, proposed=proposed)
+    known = _classes(marked.select("id", "fp", "node"), "node", reps.select("node", "rep", "m"), links)
+    return known.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
