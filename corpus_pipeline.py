@@ -1,53 +1,72 @@
-"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokens. Each stage's result is written and read as the next one's input."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokens. Each stage's result is written and read as the next one's input.
+
+Stages keep or drop rows, not identifiers: where rows are compared, each has a number of its own within the stage, so rows that share a
+doc_id, or have none, are judged one by one. All columns are kept as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import digests
-from spanloom.llm.common import fresh, stage, table
+from spanloom.llm.common import fresh, numbered, stage, table
 from spanloom.llm.exact_dedup import exact_groups
 from spanloom.llm.langid import fit, held_out, predict
-from spanloom.llm.minhash import similar_documents
 from spanloom.llm.mixing import mix
+from spanloom.llm.simhash import near_duplicates
 
-#: Least posterior of the predicted language.
-LEAST_SCORE = 0.5
+#: Near-duplicates: words of a shingle, and least Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: neither ``und`` nor undecided between languages."""
+    """Rows whose text has a language. Null texts, and texts without a letter, have none and go; an empty table stays empty. Where no
+    labelled row is there to learn from, no text has one."""
     model = fit(docs.where(~held_out()))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     guessed = predict(docs, model, lang_out=lang, score_out=score)
-    return guessed.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    return guessed.where(F.col(lang) != "und").select(*docs.columns)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the listed doc_ids."""
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _one_of_each(docs: DataFrame, no: str, groups: DataFrame, kept: Column) -> DataFrame:
+    """docs without its number; of the groups' rows (no, ...) those that are kept."""
+    gone = groups.where(~kept).select(F.col("_id")[no].alias(no))
+    return docs.join(gone, no, "left_anti").drop(no)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
-    return _without(docs, exact_groups(docs, keep="max").where(~F.col("kept")).select("doc_id"))
+    """One row of each text (null counts as empty): that with the largest doc_id, any identifier before none; of rows that share both,
+    one stays. An empty table stays empty."""
+    no = fresh(docs, "_no")
+    docs = numbered(docs, no)
+    rows = docs.select(F.struct("doc_id", no).alias("_id"), "text")
+    return _one_of_each(docs, no, exact_groups(rows, id_col="_id", keep="max"), F.col("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
-    return _without(docs, similar_documents(docs).where("doc_id <> component_id").select("doc_id"))
+    """One row of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8): that with the smallest doc_id, any identifier
+    before none, of rows that share it that whose text has the smallest hash. Null texts and texts without words are one group. An empty
+    table stays empty."""
+    no = fresh(docs, "_no")
+    docs = numbered(docs, no)
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tie"), no).alias("_id"), "text")
+    groups = near_duplicates(rows, id_col="_id", shingle=SHINGLE, least=SIMILARITY)
+    return _one_of_each(docs, no, groups, F.col("_id") == F.col("component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: taken / size, rounded to whole documents (0, 1 or 2)."""
-    times, copy = fresh(docs, "times"), fresh(docs, "copy")
-    taken = mix(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
-    return docs.join(taken, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """Each row as often as the mix takes its words: taken / size, rounded to whole rows (0, 1 or 2). Null and wordless texts are taken 0
+    times; a null source is a source of its own; rows that share a doc_id are mixed row by row. An empty table stays empty."""
+    no, copy = fresh(docs, "_no"), fresh(docs, "_copy")
+    docs = numbered(docs, no)
+    taken = mix(docs, keep=[no]).where("size > 0").select(no, F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
+    met = docs.join(taken.where(F.col(copy) > 0), no)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(no, copy)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, a row per row."""
+    """doc_id, n_tokens and the digests of ids and decoded text, a row per row; null counts as empty."""
     return digests(docs)
 
 
@@ -58,7 +77,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("tokens", tokenize),
 ]
-#: Language prediction, MinHash and BPE are beyond SQL: tests hold the pipeline against a brute-force version.
+#: Language prediction, near-duplicates and BPE are beyond SQL: tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
