@@ -125,24 +125,28 @@ def size_bounds(n: int, least: float) -> tuple[int, int]:
     return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
 
 
+def lacking(n: int, least: float) -> int:
+    """Most of a template's n bigrams that a unit of any admissible size can lack and still reach ``least``."""
+    return n - math.ceil(least * (n + size_bounds(n, least)[0]) / 2 - 1e-4)
+
+
 def anchors(text: str, least: float) -> list[tuple[str, int]]:
-    """(word, place) of a template's anchors, every place: its longest words, as few of them as stand in more bigrams than a unit of any
-    admissible size can lack and still reach ``least``."""
+    """(word, place) of a template's anchors, every place: its longest words, as few of them as stand in more bigrams than a unit can lack."""
     words = words_of(text)
-    n = len(words) - 1
-    lacking = n - math.ceil(least * (n + size_bounds(n, least)[0]) / 2 - 1e-4)
+    most = lacking(len(words) - 1, least)
     chosen: set[str] = set()
     for word in sorted(set(words), key=lambda w: (-len(w), w)):
         chosen.add(word)
-        if sum(a in chosen or b in chosen for a, b in zip(words, words[1:], strict=False)) > lacking:
+        if sum(a in chosen or b in chosen for a, b in zip(words, words[1:], strict=False)) > most:
             break
     return [(w, at) for at, w in enumerate(words) if w in chosen]
 
 
-def _with_bigrams(units: DataFrame) -> DataFrame:
-    """units (words) with own: their bigrams, numbered. The plain bigrams are a column of their own, so that they are made once."""
+def _matching(units: DataFrame) -> DataFrame:
+    """units (words, grams, plain_grams, lacks) with own: their bigrams, numbered. Units that lack too many of a template's distinct bigrams are
+    dropped first: numbering takes time with the square of a unit's length, the first look doesn't."""
     plain = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat_ws(" ", w, F.element_at("words", i + 2)))
-    units = units.withColumn("plain", plain)
+    units = units.withColumn("plain", plain).where(F.size(F.array_except("plain_grams", "plain")) <= F.col("lacks"))
     return units.withColumn("own", F.transform("plain", lambda p, i: F.concat_ws(" ", p, F.size(F.filter(F.slice("plain", 1, i + 1), lambda q: q == p)).cast("string"))))
 
 
@@ -163,15 +167,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         lo, hi = size_bounds(n, least)
         sizes |= set(range(max(lo, 1), hi + 1))
         longest = max(longest, n + 1)
-        shelf.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(max(lo, 1)).alias("lo"), F.lit(hi).alias("hi")))
+        plain = sorted({g.rsplit(" ", 1)[0] for g in grams})
+        lists = F.array(*map(F.lit, grams)).alias("grams"), F.array(*map(F.lit, plain)).alias("plain_grams")
+        shelf.append(F.struct(F.lit(name).alias("name"), *lists, F.lit(lacking(n, least)).alias("lacks"), F.lit(max(lo, 1)).alias("lo"), F.lit(hi).alias("hi")))
         places += [F.struct(F.lit(w).alias("word"), F.lit(name).alias("name"), F.lit(at).alias("at"), F.lit(n + 1).alias("size")) for w, at in anchors(text, least)]
     marks = sorted({w for text in given.values() for w, _ in anchors(text, least)})
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    listed = F.array(*shelf) if shelf else none("struct<name:string,grams:array<string>,lo:int,hi:int>")
+    listed = F.array(*shelf) if shelf else none("struct<name:string,grams:array<string>,plain_grams:array<string>,lacks:int,lo:int,hi:int>")
     placed = F.array(*places) if places else none("struct<word:string,name:string,at:int,size:int>")
     marked = F.array(*map(F.lit, marks)) if marks else none("string")
     # One row per template and admissible size: bounded by the templates.
-    shelf = spark.range(1).select(F.explode(listed).alias("t")).select("t.name", "t.grams", F.explode(F.sequence("t.lo", "t.hi")).alias("n"))
+    shelf = spark.range(1).select(F.explode(listed).alias("t")).select("t.name", "t.grams", "t.plain_grams", "t.lacks", F.explode(F.sequence("t.lo", "t.hi")).alias("n"))
     split = lambda text: F.filter(F.split(text, " "), lambda w: w != "")
     flat = F.replace(F.col("plain"), F.lit("\n"), F.lit(" "))
     df = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normal(F.coalesce(F.col(text_col), F.lit(""))).alias("plain"))
@@ -194,8 +200,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     windows = parts.select("row", "words", "from", F.explode(F.array_distinct(F.flatten(F.transform(hits, start)))).alias("w"))
     windows = windows.select("row", "w.name", F.slice("words", F.col("w.start") - F.col("from") + 1, F.col("w.size")).alias("words"))
     by_window = windows.withColumn("n", F.size("words") - 1).join(F.broadcast(shelf), ["name", "n"])
-    fields = ["row", "name", "n", "words", "grams"]
-    met = _with_bigrams(by_line.select(*fields).unionByName(by_window.select(*fields)))
+    fields = ["row", "name", "n", "words", "grams", "plain_grams", "lacks"]
+    met = _matching(by_line.select(*fields).unionByName(by_window.select(*fields)))
     dice = F.round(2.0 * F.size(F.array_intersect("own", "grams")) / (F.col("n") + F.size("grams")), 6)
     best = met.groupBy("row", "name").agg(F.max(dice).alias("dice")).where(F.col("dice") >= least)
     best = best.groupBy("row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "name")).alias("best"), F.count(F.lit(1)).alias("n_matches"))
