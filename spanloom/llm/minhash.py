@@ -60,6 +60,13 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys, (least >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
+def slices(batches: Iterator[pd.Series], rows: int = 256) -> Iterator[pd.Series]:
+    """Batches cut small, so that what is made of a batch doesn't stand in memory as a whole."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def node(hashes: np.ndarray) -> int:
     """Signed hash of a set: equal sets are one node."""
     h = xxhash.xxh64_intdigest(hashes.tobytes())
@@ -114,7 +121,7 @@ def _apart(crowds: DataFrame, sets: DataFrame, links: DataFrame, least: float, b
 
 def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], least: float = LEAST, crowd: int = CROWD, proposed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """sets (node, n, keys, sig), distinct nodes -> links (u, v) of nodes whose sets reach the similarity; every two similar sets are connected
-    by links. bodies(nodes) gives (node, body), the sets' hashes as bytes, once for each of the given nodes; proposed: more pairs (u, v)
+    by links. bodies(nodes) gives (node, body), the sets' hashes as longs, once for each of the given nodes; proposed: more pairs (u, v)
     to be decided on."""
     each = sets.select("node", "n", F.explode("keys").alias("key"))
     ends = F.struct("node", "n")
@@ -129,16 +136,16 @@ def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], lea
     if proposed is not None:
         found = found.unionByName(proposed.select("u", "v"))
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=float)
+    # Row by row in the JVM: bodies of long texts never stand in memory by the batch.
+    common = F.size(F.array_intersect("a", "b"))
+    similarity = common / (F.size("a") + F.size("b") - common)
 
     def decided(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-pairs")
         body = stage(bodies(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "shingle-sets")
         of = lambda end, name: body.select(F.col("node").alias(end), F.col("body").alias(name))
         whole = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-        return stage(whole.where(similarity("a", "b") >= least - 1e-9).select("u", "v"), "similar-links")
+        return stage(whole.where(similarity >= least - 1e-9).select("u", "v"), "similar-links")
 
     links = decided(found)
     crowds = met.where(F.col("m") > crowd).select("key", "node", "n")

@@ -175,17 +175,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
 
     @F.pandas_udf("fp long, node long, n long, keys array<long>, sig binary")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [minhash.shingles(t, shingle) for t in texts]
-        rows = [(minhash.node(s), len(s), *minhash.sketch(s)) for s in sets]
-        out = pd.DataFrame(rows, columns=["node", "n", "keys", "sig"])
-        out.insert(0, "fp", np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
-        return out
-
-    @F.pandas_udf("node long, body binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [minhash.shingles(t, shingle) for t in texts]
-        return pd.DataFrame({"node": [minhash.node(s) for s in sets], "body": [s.tobytes() for s in sets]})
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in minhash.slices(batches):
+            sets = [minhash.shingles(t, shingle) for t in texts]
+            out = pd.DataFrame([(minhash.node(s), len(s), *minhash.sketch(s)) for s in sets], columns=["node", "n", "keys", "sig"])
+            out.insert(0, "fp", np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            yield out
+
+    @F.pandas_udf("node long, body array<long>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in minhash.slices(batches):
+            sets = [minhash.shingles(t, shingle) for t in texts]
+            yield pd.DataFrame({"node": [minhash.node(s) for s in sets], "body": [s.view(np.int64) for s in sets]})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stage(texts.select("id", sketch("text").alias("k")).select("id", "k.*"), "sketches")

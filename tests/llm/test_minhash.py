@@ -51,7 +51,7 @@ def links_of(spark, texts, **options):
         keys, sig = minhash.sketch(h)
         data.append((n, len(h), keys.tolist(), sig))
     sets = spark.createDataFrame(data, "node long, n long, keys array<long>, sig binary")
-    bodies = spark.createDataFrame([(n, h.tobytes()) for n, h in by.items()], "node long, body binary")
+    bodies = spark.createDataFrame([(n, h.view("int64").tolist()) for n, h in by.items()], "node long, body array<long>")
     pairs = [(r["u"], r["v"]) for r in rows(minhash.similar_links(sets, lambda nodes: bodies.join(nodes, "node"), **options))]
     return by, pairs
 
