@@ -1,9 +1,9 @@
 """Sets of word shingles: similarity, and the pairs that bands of least hashes propose (for operator 3, where fingerprints lie too far apart).
 
 A set has ``BANDS`` keys, each of ``ROWS`` least values under hash functions of its own. Sets of Jaccard similarity s share a key with a
-chance of 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 at 0.8. Up to ``CROWD`` sets of a key are compared each with each, beyond that
-each with the least and the greatest; sets of a crowd that are then not yet connected are compared in blocks by their least values, and
-whole where these allow the similarity. Pairs so grow with the rows and not with their square, and none is left out.
+chance of 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 at 0.8. Up to ``CROWD`` sets of a key are compared each with each. Beyond that a set
+is compared with the least set that it meets under any of its keys; sets of a crowd that are then not yet connected are compared in blocks
+by their least values, and whole where these allow the similarity. Pairs of a group so grow with its size and not with the square.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from spanloom.operators.components import components
 from spanloom.operators.joins import lookup_join
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, CROWD = 25, 5, 16
+BANDS, ROWS, CROWD = 25, 5, 2
 #: Below the similarity by so much, the share of equal least values rules a pair out: four standard deviations of the estimate at 0.8.
 MARGIN = 0.15
 #: Elements of a matrix of values by hash functions.
@@ -130,8 +130,9 @@ def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], lea
     met = stage(lookup_join(each, by_key, "key", "rows", "inner"), "band-keys")
     few = met.where(F.col("m") <= crowd).groupBy("key").agg(F.sort_array(F.collect_list(ends)).alias("g"))
     few = few.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", 1, F.col("i"))).alias("b"))
-    many = met.where(F.col("m") > crowd).select(ends.alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    found = few.unionByName(many).where("a.node <> b.node").where(F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n") - 1e-9)
+    fits = (F.col("a.node") != F.col("b.node")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n") - 1e-9)
+    many = met.where(F.col("m") > crowd).select(ends.alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where(fits)
+    found = few.where(fits).unionByName(many.groupBy("a").agg(F.min("b").alias("b")))
     found = found.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     if proposed is not None:
         found = found.unionByName(proposed.select("u", "v"))
