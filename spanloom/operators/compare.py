@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.annotate import LOCUS, nodes
+from spanloom.operators.components import components
 from spanloom.operators.filters import global_rank, strands_agree
 from spanloom.operators.intervals import introns, islands
 from spanloom.operators.joins import nearest, overlap_join, splicing_patterns
@@ -213,17 +214,13 @@ def best_in_both_directions(exon_rows: DataFrame) -> DataFrame:
 
 def merge_genes(exon_rows: DataFrame) -> DataFrame:
     """(tid, gene_id, gene): transcripts whose exons share a cluster (chromosome and strand, touching merges), transitively, are one gene; gene ids
-    number the genes by place. Each round of labels is written to the shared folder."""
+    number the genes by place. Rounds grow with the logarithm of the longest chain of clusters."""
     rows = islands(exon_rows.select("chrom", "strand", "tid", "gene", "s", "e"), ["chrom", "strand"], order=["tid"])
-    links = stage(rows.select(F.concat_ws(":", "chrom", "strand", F.col("island").cast("string")).alias("c"), "tid").distinct())
-    label = stage(links.groupBy("tid").agg(F.min("tid").alias("g")))
-    while True:
-        by_cluster = links.join(label, "tid").groupBy("c").agg(F.min("g").alias("g"))
-        after = stage(links.join(by_cluster, "c").groupBy("tid").agg(F.min("g").alias("g")))
-        changed = after.join(label.withColumnRenamed("g", "old"), "tid").where("g <> old").limit(1).count()
-        label = after
-        if not changed:
-            break
+    links = stage(rows.select("chrom", "strand", "island", "tid").distinct(), "cluster-members")
+    hubs = links.groupBy("chrom", "strand", "island").agg(F.min("tid").alias("v"))
+    edges = links.join(hubs, ["chrom", "strand", "island"]).select(F.col("tid").alias("u"), "v")
+    linked = components(edges).withColumnRenamed("node", "tid")
+    label = links.select("tid").distinct().join(linked, "tid", "left").select("tid", F.coalesce("component", "tid").alias("g"))
     places = exon_rows.join(label, "tid").groupBy("g").agg(F.min(F.struct("chrom", "s", "e", "strand")).alias("place"))
     named = global_rank(places, ["place", "g"], "no").select("g", F.format_string("source%011d", "no").alias("gene_id"))
     return label.join(named, "g").join(exon_rows.select("tid", "gene").distinct(), "tid").select("tid", "gene_id", "gene")

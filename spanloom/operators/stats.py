@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.filters import running
+
 #: Quantiles of the library reports, in percent.
 PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
 
 
+def _below(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group and distinct value: _n rows with it, _below rows under it, _all rows of the group; no task has to hold a group."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    below = running(counts, by, [value], {"_below": "_n"})
+    sizes = below.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_all")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)), F.lit(True))
+    return below.join(sizes, same).select(*by, value, "_n", "_below", "_all")
+
+
 def left_ecdf_rank(df: DataFrame, by: str, value: str, out: str = "pct") -> DataFrame:
     """df with 100 * (rows of the group strictly below) / (rows of the group).
 
     Ranks come from the distinct values of a group and how often each occurs, so ties, however many, are counted before the sort.
     """
-    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(by).alias("_by"), F.col(value).alias("_value"), (100.0 * below / F.sum("_n").over(W.partitionBy(by))).alias(out))
+    ranks = _below(df, [by], value).select(F.col(by).alias("_by"), F.col(value).alias("_value"), (100.0 * F.col("_below") / F.col("_all")).alias(out))
     return df.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & F.col(value).eqNullSafe(F.col("_value"))).drop("_by", "_value")
 
 
@@ -32,17 +42,16 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[f
 
 def discrete_quantile(df: DataFrame, by: Sequence[str], value: str, percent: float, side: str = "lower") -> DataFrame:
     """The data point below (lower) or above (higher) the interpolated position (n - 1) * percent / 100."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1
-    at = (F.count(F.lit(1)).over(W.partitionBy(*by)) - 1) * percent / 100
+    at = (F.col("_all") - 1) * percent / 100
     wanted = F.floor(at) if side == "lower" else F.ceil(at)
-    return df.withColumn("_r", rank).withColumn("_w", wanted).where("_r = _w").select(*by, F.col(value).alias(side))
+    held = (F.col("_below") <= wanted) & (wanted < F.col("_below") + F.col("_n"))
+    return _below(df, by, value).where(held).select(*by, F.col(value).alias(side))
 
 
 def ecdf_band(df: DataFrame, by: str, value: str, alpha: float = 0.05) -> DataFrame:
     """(by, value, ecdf, low, high): right-continuous ECDF at each distinct value with its DKW band, clipped to [0, 1]."""
-    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.sum("_n").over(W.partitionBy(by))
-    y = F.sum("_n").over(W.partitionBy(by).orderBy(value)) / n
+    counts, n = _below(df, [by], value), F.col("_all")
+    y = (F.col("_below") + F.col("_n")) / n
     eps = F.sqrt(F.log(F.lit(2 / alpha)) / (2 * n))
     return counts.select(by, value, y.alias("ecdf"), F.greatest(y - eps, F.lit(0.0)).alias("low"), F.least(y + eps, F.lit(1.0)).alias("high"))
 
