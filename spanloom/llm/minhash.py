@@ -3,7 +3,8 @@
 A set has ``BANDS`` keys, each of ``ROWS`` least values under hash functions of its own. Sets of Jaccard similarity s share a key with a
 chance of 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 at 0.8. Up to ``CROWD`` sets of a key are compared each with each. Beyond that a set
 is compared with the least set that it meets under any of its keys; sets of a crowd that are then not yet connected are compared in blocks
-by their least values, and whole where these allow the similarity. Pairs of a group so grow with its size and not with the square.
+by their least values, and whole where these allow the similarity. A block gives only the links that connect what isn't connected in it, so
+links of a group grow with its size and not with the square.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, CROWD = 25, 5, 2
 #: Below the similarity by so much, the share of equal least values rules a pair out: four standard deviations of the estimate at 0.8.
 MARGIN = 0.15
+#: Shingles up to which a set comes along to where a crowd is compared; pairs of larger ones are decided on afterwards.
+ALONG = 512
 #: Elements of a matrix of values by hash functions.
 _CELLS = 1 << 20
 _rng = np.random.default_rng(42)
@@ -80,43 +83,92 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Of each block the residents, then those that ask: pairs of different components whose sizes and least values allow the similarity."""
-    block, homes, sigs = None, None, None
+    """Of each block the residents, then those that ask: links between different components whose sets reach the similarity (sure). Those
+    that a link joins are one component from then on, so a block gives fewer links than it holds components. Pairs with a set that
+    doesn't come along are given where sizes and least values allow the similarity (not sure)."""
+    block, homes = None, None
     for batch in batches:
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        out: list[tuple[int, int, bool]] = []
         for (leaf, cell), rows in batch.groupby(["leaf", "cell"], sort=True):
             if (leaf, cell >> 1) != block:
-                block, homes, sigs = (leaf, cell >> 1), None, None
-            own = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+                block, homes, joined = (leaf, cell >> 1), None, {}
+            own = _Members(rows)
             if not cell & 1:
-                homes, sigs = (rows, own) if homes is None else (pd.concat([homes, rows]), np.concatenate([sigs, own]))
+                homes = own if homes is None else homes.plus(own)
+            elif homes is not None:
+                for at in range(0, len(rows), 64):
+                    out += _links(own.part(at, at + 64), homes, joined, least)
+        yield pd.DataFrame(dict(zip("uv", ([o[k] for o in out] for k in (0, 1)), strict=True)), dtype="int64").assign(sure=np.array([o[2] for o in out], bool))
+
+
+class _Members:
+    """Columns of a block's rows; a set is made of a row's hashes when it is first looked at."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        self.n, self.node, self.label = (rows[c].to_numpy() for c in ("n", "node", "label"))
+        self.body, self.sets = list(rows["body"]), [None] * len(rows)
+
+    def _with(self, change: Callable[[str], object]) -> _Members:
+        other = object.__new__(_Members)
+        vars(other).update({name: change(name) for name in vars(self)})
+        return other
+
+    def part(self, lo: int, hi: int) -> _Members:
+        return self._with(lambda name: getattr(self, name)[lo:hi])
+
+    def plus(self, more: _Members) -> _Members:
+        both = lambda name: (getattr(self, name), getattr(more, name))
+        return self._with(lambda name: both(name)[0] + both(name)[1] if isinstance(both(name)[0], list) else np.concatenate(both(name)))
+
+    def shingles(self, k: int) -> frozenset | None:
+        if self.sets[k] is None and self.body[k] is not None:
+            self.sets[k] = frozenset(np.asarray(self.body[k]).tolist())
+        return self.sets[k]
+
+
+def _root(joined: dict[int, int], label: int) -> int:
+    while (up := joined.get(label, label)) != label:
+        joined[label] = label = joined.get(up, up)
+    return label
+
+
+def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float) -> list[tuple[int, int, bool]]:
+    ok = (rows.sig[:, None] == homes.sig[None]).mean(axis=2) >= least - MARGIN
+    small, large = np.minimum.outer(rows.n, homes.n), np.maximum.outer(rows.n, homes.n)
+    ok &= (small >= least * large - 1e-9) & (rows.label[:, None] != homes.label[None])
+    out = []
+    for r, c in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+        here, there = _root(joined, int(rows.label[r])), _root(joined, int(homes.label[c]))
+        if here == there:
+            continue
+        a, b = rows.shingles(r), homes.shingles(c)
+        sure = a is not None and b is not None
+        if sure:
+            common = len(a & b)
+            if common < least * (len(a) + len(b) - common) - 1e-9:
                 continue
-            if homes is None:
-                continue
-            for at in range(0, len(rows), 64):
-                part = rows.iloc[at : at + 64]
-                ok = (own[at : at + 64, None] == sigs[None]).mean(axis=2) >= least - MARGIN
-                small, large = np.minimum.outer(part["n"].to_numpy(), homes["n"].to_numpy()), np.maximum.outer(part["n"].to_numpy(), homes["n"].to_numpy())
-                ok &= (small >= least * large - 1e-9) & (part["label"].to_numpy()[:, None] != homes["label"].to_numpy()[None])
-                r, c = np.nonzero(ok)
-                a, b = part["node"].to_numpy()[r], homes["node"].to_numpy()[c]
-                us.append(np.maximum(a, b))
-                vs.append(np.minimum(a, b))
-        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}).drop_duplicates()
-
-
-def _apart(crowds: DataFrame, sets: DataFrame, links: DataFrame, least: float, block: int) -> DataFrame:
-    """Pairs (u, v) of sets under one crowded key (crowds: key, node, n) that links don't connect and that may reach the similarity."""
+            joined[max(here, there)] = min(here, there)
+        out.append((int(rows.node[r]), int(homes.node[c]), sure))
+    return out
+
+
+def _apart(crowds: DataFrame, sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], links: DataFrame, least: float, block: int) -> DataFrame:
+    """Of sets under one crowded key (crowds: key, node, n) that links don't connect: further links (u, v, sure), and the pairs that may
+    reach the similarity where a set has more than ``ALONG`` shingles (not sure)."""
     comp = components(links).withColumnRenamed("node", "_member")
     labelled = crowds.join(comp, F.col("node") == F.col("_member"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     labelled = stage(labelled, "crowds")
     by_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
     main = by_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rest = labelled.join(main, "key").join(sets.select("node", "sig"), "node")
-    rest = stage(rest.select(F.col("key").alias("leaf"), "node", "n", "label", "sig", (F.col("label") != F.col("most.label")).alias("stray")), "open-crowds")
-    fields = ["leaf", "node", "n", "label", "sig"]
+    stray = (F.col("label") != F.col("most.label")).alias("stray")
+    rest = stage(labelled.join(main, "key").select(F.col("key").alias("leaf"), "node", "n", "label", stray), "open-crowds")
+    small = rest.where(F.col("n") <= ALONG).select("node").distinct()
+    along = sets.select("node", "sig").join(bodies(small), "node", "left")
+    rest = stage(rest.join(along, "node"), "open-sets")
+    fields = ["leaf", "node", "n", "label", "sig", "body"]
     laid = meetings(rest.where("stray").select(*fields), rest.select(*fields), block, own="node", inside=False)
-    return laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long").distinct()
+    return laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long, sure boolean").distinct()
 
 
 def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], least: float = LEAST, crowd: int = CROWD, proposed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -152,5 +204,7 @@ def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], lea
     crowds = met.where(F.col("m") > crowd).select("key", "node", "n")
     if crowds.isEmpty():
         return links
-    more = stage(_apart(crowds, sets, links, least, block), "crowd-pairs")
-    return links if more.isEmpty() else links.unionByName(decided(more))
+    more = stage(_apart(crowds, sets, bodies, links, least, block), "crowd-links")
+    links = links.unionByName(more.where("sure").select("u", "v"))
+    unsure = more.where("NOT sure").select("u", "v")
+    return links if unsure.isEmpty() else links.unionByName(decided(unsure))

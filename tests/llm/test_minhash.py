@@ -64,9 +64,11 @@ def test_a_crowd_is_one_group(spark, crowd):
     assert len(set(union(by, pairs).values())) == 1
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_a_crowd_of_many_groups(spark, block):
-    """Texts that share two thirds of their words meet under the same keys; pairs among them are found though no hub links them."""
+@pytest.mark.parametrize(("block", "along"), [(8, 512), (512, 512), (8, 298), (512, 0)])
+def test_a_crowd_of_many_groups(spark, block, along, monkeypatch):
+    """Texts that share two thirds of their words meet under the same keys; pairs among them are found though no hub links them, whether
+    sets come along or are looked up."""
+    monkeypatch.setattr(minhash, "ALONG", along)
     rng = random.Random(6)
     base = [f"w{k}" for k in range(300)]
     texts = []
@@ -80,6 +82,8 @@ def test_a_crowd_of_many_groups(spark, block):
     each = list(by.items())
     want = [(a, b) for i, (a, x) in enumerate(each) for b, y in each[:i] if minhash.jaccard(x, y) >= 0.8]
     assert want and union(by, pairs) == union(by, want)
+    if along:
+        assert len(pairs) < 3 * len(each)
 
 
 def test_odd_identifiers(spark):
