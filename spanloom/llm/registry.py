@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, warc
+from spanloom.llm import bpe, chat, exact_dedup, langid, licenses, mixing, negatives, quality, sharding, simhash, spelling, token_counts, warc
 
 
 OPERATORS = (
@@ -20,6 +20,9 @@ OPERATORS = (
     mixing.op8_mix_to_weights,
     bpe.op9_bpe,
     exact_dedup.op10_exact_dedup,
+    token_counts.op11_token_counts,
+    spelling.op12_spelling_variants,
+    negatives.op13_hard_negatives,
 )
 
 
@@ -35,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality.OP7_SQL,
         "op8_mix_to_weights": mixing.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op12_spelling_variants": spelling.OP12_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
     }

@@ -26,7 +26,7 @@ def run(spark, prefix):
 
 def test_names():
     names = set(registry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in entry.queries()
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in entry.queries()
 
 
 def brute_model(docs, pieces, rounds=2):
@@ -98,7 +98,7 @@ def test_language_predictions_equal_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, cursor = registry.queries()[name](spark, SF), c.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
