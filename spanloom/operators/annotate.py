@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.operators.intervals import clusters, elementary, introns, islands
+from spanloom.operators.intervals import clusters, introns, islands, segments
 from spanloom.sources.stages import stage
 
 # Category numbers and names.
@@ -21,9 +21,7 @@ LOCUS = ["chrom", "locus"]
 
 def nodes(exon_rows: DataFrame) -> DataFrame:
     """exon_rows (chrom, locus, tid, ...) cut into locus segments: s and e are those of the segment."""
-    cuts = elementary(exon_rows, LOCUS).select(*LOCUS, F.col("s").alias("seg_s"), F.col("e").alias("seg_e"))
-    hit = exon_rows.join(cuts, LOCUS).where("seg_s >= s AND seg_e <= e")
-    return hit.select(*(c for c in exon_rows.columns if c not in ("s", "e")), F.col("seg_s").alias("s"), F.col("seg_e").alias("e"))
+    return segments(exon_rows, LOCUS).select(*(c for c in exon_rows.columns if c not in ("s", "e")), F.col("seg_s").alias("s"), F.col("seg_e").alias("e"))
 
 
 def node_scores(node_rows: DataFrame) -> DataFrame:

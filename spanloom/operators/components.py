@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.sources.stages import discard, stage
+from spanloom.sources.stages import discard, stage, stage_and_count
 
 
-def _print(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set."""
-    counts = F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))), F.lit(0))
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), counts).first()
-    return tuple(row)
+def _printed(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """An edge set written, and its fingerprint."""
+    return stage_and_count(edges, name, F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))))
 
 
 def _hang(pairs: DataFrame, least: DataFrame, on: str, node: str) -> DataFrame:
@@ -25,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     an edge to another; component is its smallest reachable node. Each round is written to the shared folder, and the round before it
     deleted; log-many rounds are needed, however long the chains are."""
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = stage(ordered, "edges")
-    seen = _print(now)
+    now, seen = _printed(ordered, "edges")
     while seen[0]:
         # Large star: the larger neighbours of a node hang on the least of its neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours hang on the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _hang(large, least, "u", "v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small = stage(small, "small-star")
+        before = seen
+        small, seen = _printed(small, "small-star")
         discard(now, large)
         now = small
-        before, seen = seen, _print(now)
         if seen == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

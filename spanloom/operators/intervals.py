@@ -70,10 +70,32 @@ def elementary(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return boundaries(df, by).select(*by, F.col("pos").alias("s"), ahead.alias("e")).where("e IS NOT NULL")
 
 
-def segments(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """df with seg_s and seg_e: each interval cut at every boundary inside it. Empty intervals yield nothing; the pieces partition the rest."""
-    cuts = elementary(df, by).select(*by, F.col("s").alias("seg_s"), F.col("e").alias("seg_e"))
-    return df.join(cuts, list(by)).where("seg_s >= s AND seg_e <= e")
+def numbered_cuts(df: DataFrame, by: Sequence[str], width: int = BIN) -> DataFrame:
+    """(by, pos, cut, ahead): distinct boundaries numbered by position within ``by``, each with the next one. Bins are scanned on their own; the
+    number of boundaries before a bin and the first one behind it come from a table with a row per bin."""
+    cuts = boundaries(df, by).withColumn("_bin", bin_of("pos", width))
+    per = cuts.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
+    order = W.partitionBy(*by).orderBy("_bin")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = per.select(*by, "_bin", before.alias("_before"), F.lead("_first").over(order).alias("_ahead"))
+    inside = W.partitionBy(*by, "_bin").orderBy("pos")
+    number = F.row_number().over(inside) - 1 + F.col("_before")
+    return cuts.join(carried, [*by, "_bin"]).select(*by, "pos", number.alias("cut"), F.coalesce(F.lead("pos").over(inside), "_ahead").alias("ahead"))
+
+
+def segments(df: DataFrame, by: Sequence[str], width: int = BIN) -> DataFrame:
+    """df with seg_s and seg_e: each interval cut at every boundary inside it. Empty intervals yield nothing; the pieces partition the rest.
+
+    An interval's ends are boundaries themselves, so each distinct span finds the numbers of its first and last one by equality, and its
+    pieces by the numbers between: no span meets a boundary that doesn't cut it.
+    """
+    by = list(by)
+    cuts = numbered_cuts(df, by, width)
+    spans = df.where("e > s").select(*by, "s", "e").distinct()
+    ends = spans.join(cuts.select(*by, F.col("pos").alias("s"), F.col("cut").alias("_from")), [*by, "s"]).join(cuts.select(*by, F.col("pos").alias("e"), F.col("cut").alias("_to")), [*by, "e"])
+    pieces = ends.withColumn("cut", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
+    pieces = pieces.join(cuts.select(*by, "cut", F.col("pos").alias("seg_s"), F.col("ahead").alias("seg_e")), [*by, "cut"])
+    return df.join(pieces.select(*by, "s", "e", "seg_s", "seg_e"), [*by, "s", "e"])
 
 
 def introns(exon_rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local: dict[str, str] = {}
 _owned: set[str] = set()
@@ -50,6 +50,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def stage_and_count(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, tuple]:
+    """As stage, with aggregates of the rows written: they are taken while the table is written, without a job of their own. Null where no row
+    was written."""
+    seen = Observation()
+    out = stage(df.observe(seen, *(c.alias(f"c{k}") for k, c in enumerate(counts))), name)
+    found = seen.get
+    return out, tuple(found.get(f"c{k}") for k in range(len(counts)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stage`` wrote and that nothing reads any more."""
     for df in tables:
