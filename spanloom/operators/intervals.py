@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.stages import stage
+
 #: Width of a bin in positions.
 BIN = 1 << 20
 
@@ -87,10 +89,10 @@ def segments(df: DataFrame, by: Sequence[str], width: int = BIN) -> DataFrame:
     """df with seg_s and seg_e: each interval cut at every boundary inside it. Empty intervals yield nothing; the pieces partition the rest.
 
     An interval's ends are boundaries themselves, so each distinct span finds the numbers of its first and last one by equality, and its
-    pieces by the numbers between: no span meets a boundary that doesn't cut it.
+    pieces by the numbers between: no span meets a boundary that doesn't cut it. The numbered boundaries are written once.
     """
     by = list(by)
-    cuts = numbered_cuts(df, by, width)
+    cuts = stage(numbered_cuts(df, by, width), "cuts")
     spans = df.where("e > s").select(*by, "s", "e").distinct()
     ends = spans.join(cuts.select(*by, F.col("pos").alias("s"), F.col("cut").alias("_from")), [*by, "s"]).join(cuts.select(*by, F.col("pos").alias("e"), F.col("cut").alias("_to")), [*by, "e"])
     pieces = ends.withColumn("cut", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))

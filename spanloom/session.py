@@ -13,11 +13,12 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for one machine; on a cluster the submitter's configuration is used as it is."""
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+    """A session for one machine, with so much memory for its only JVM; on a cluster the submitter's configuration is used as it is."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("spanloom")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
