@@ -2,8 +2,8 @@
 
 A set has ``BANDS`` keys, each of ``ROWS`` least values under hash functions of its own. Sets of Jaccard similarity s share a key with a
 chance of 1 - (1 - s^ROWS)^BANDS: all but 5 in 100,000 at 0.8. Up to ``CROWD`` sets of a key are compared each with each. Beyond that a set
-is compared with the least set that it meets under any of its keys; sets of a crowd that are then not yet connected are compared in blocks
-by their least values, and whole where these allow the similarity. A block gives only the links that connect what isn't connected in it, so
+is compared with the least set that it meets under any of its keys; sets of a crowd that are then not yet connected meet once more under
+their rarest shingles, in blocks, and are compared by their least values, and whole where these allow the similarity. A block gives only the links that connect what isn't connected in it, so
 links of a group grow with its size and not with the square.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.blocks import BLOCK, meetings
-from spanloom.llm.common import stage
+from spanloom.llm.common import discard, stage
 from spanloom.operators.components import components
 from spanloom.operators.joins import lookup_join
 
@@ -28,6 +28,8 @@ BANDS, ROWS, CROWD = 25, 5, 2
 MARGIN = 0.15
 #: Shingles up to which a set comes along to where a crowd is compared; pairs of larger ones are decided on afterwards.
 ALONG = 512
+#: Buckets in which the shingles of open crowds are counted, for an order from rare to common.
+BUCKETS = 1 << 20
 #: Elements of a matrix of values by hash functions.
 _CELLS = 1 << 20
 _rng = np.random.default_rng(42)
@@ -106,7 +108,7 @@ class _Members:
 
     def __init__(self, rows: pd.DataFrame):
         self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
-        self.n, self.node, self.label = (rows[c].to_numpy() for c in ("n", "node", "label"))
+        self.n, self.node, self.label, self.mid = (rows[c].to_numpy() for c in ("n", "node", "label", "mid"))
         self.body, self.sets = list(rows["body"]), [None] * len(rows)
 
     def _with(self, change: Callable[[str], object]) -> _Members:
@@ -137,6 +139,7 @@ def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float
     ok = (rows.sig[:, None] == homes.sig[None]).mean(axis=2) >= least - MARGIN
     small, large = np.minimum.outer(rows.n, homes.n), np.maximum.outer(rows.n, homes.n)
     ok &= (small >= least * large - 1e-9) & (rows.label[:, None] != homes.label[None])
+    ok &= np.where(rows.n[:, None] <= homes.n[None], rows.mid[:, None], homes.mid[None]).astype(bool)
     out = []
     for r, c in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
         here, there = _root(joined, int(rows.label[r])), _root(joined, int(homes.label[c]))
@@ -153,22 +156,58 @@ def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float
     return out
 
 
+def _prefixes(bodies: DataFrame, least: float) -> DataFrame:
+    """bodies (node, body) -> (node, token, mid): the first shingles of each set in one order of all shingles, rare ones first, so many that two
+    sets that reach the similarity share one: one of the larger set's (n - least * n + 1 of them) that is among the smaller set's with mid
+    (n - 2 * least / (1 + least) * n + 1). Any order is right; this one counts shingles in ``BUCKETS`` buckets, a table of fixed size, so
+    that shingles of many sets come last.
+    """
+    bucket = F.explode(F.transform("body", lambda x: x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
+    found = bodies.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["b"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    shared = bodies.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("array<struct<token:long,mid:boolean>>")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in slices(batches):
+            out = []
+            for body in some:
+                body = np.asarray(body)
+                n = len(body)
+                longest, mid = (n - int(np.ceil(part * n - 1e-6)) + 1 for part in (least, 2 * least / (1 + least)))
+                order = np.lexsort((body, shared.value[body & (BUCKETS - 1)]))[:longest]
+                out.append([{"token": t, "mid": k < mid} for k, t in enumerate(body[order].tolist())])
+            yield pd.Series(out, dtype=object)
+
+    return bodies.select("node", F.explode(first("body")).alias("p")).select("node", "p.token", "p.mid")
+
+
 def _apart(crowds: DataFrame, sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], links: DataFrame, least: float, block: int) -> DataFrame:
     """Of sets under one crowded key (crowds: key, node, n) that links don't connect: further links (u, v, sure), and the pairs that may
-    reach the similarity where a set has more than ``ALONG`` shingles (not sure)."""
+    reach the similarity where a set has more than ``ALONG`` shingles (not sure).
+
+    They meet under the rare shingles of ``_prefixes``: all pairs that reach the similarity do, and sets that only have a common passage
+    under a crowded key share none, so that such a crowd costs by its size and not by its pairs.
+    """
     comp = components(links).withColumnRenamed("node", "_member")
     labelled = crowds.join(comp, F.col("node") == F.col("_member"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
     labelled = stage(labelled, "crowds")
-    by_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = by_label.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_sets = stage(labelled.join(open_keys, "key").select("node", "n", "label").distinct(), "open-nodes")
+    body = stage(bodies(open_sets.select("node")), "open-bodies")
+    tokens = stage(_prefixes(body, least).join(open_sets, "node"), "open-tokens")
+    by_label = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.max("mid").alias("mid"))
+    main = by_label.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.max("mid").alias("_mid")).where("labels > 1 AND _mid").drop("_mid")
     stray = (F.col("label") != F.col("most.label")).alias("stray")
-    rest = stage(labelled.join(main, "key").select(F.col("key").alias("leaf"), "node", "n", "label", stray), "open-crowds")
-    small = rest.where(F.col("n") <= ALONG).select("node").distinct()
-    along = sets.select("node", "sig").join(bodies(small), "node", "left")
+    rest = stage(tokens.join(main, "token").select(F.col("token").alias("leaf"), "node", "n", "label", "mid", stray), "open-crowds")
+    along = sets.select("node", "sig").join(rest.select("node").distinct(), "node").join(body.where(F.size("body") <= ALONG), "node", "left")
     rest = stage(rest.join(along, "node"), "open-sets")
-    fields = ["leaf", "node", "n", "label", "sig", "body"]
+    fields = ["leaf", "node", "n", "label", "mid", "sig", "body"]
     laid = meetings(rest.where("stray").select(*fields), rest.select(*fields), block, own="node", inside=False)
-    return laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long, sure boolean").distinct()
+    found = stage(laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long, sure boolean").distinct(), "crowd-links")
+    discard(labelled, open_sets, body, tokens, rest)
+    return found
 
 
 def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], least: float = LEAST, crowd: int = CROWD, proposed: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -201,10 +240,11 @@ def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], lea
         return stage(whole.where(similarity >= least - 1e-9).select("u", "v"), "similar-links")
 
     links = decided(found)
+    discard(by_key)
     crowds = met.where(F.col("m") > crowd).select("key", "node", "n")
     if crowds.isEmpty():
         return links
-    more = stage(_apart(crowds, sets, bodies, links, least, block), "crowd-links")
+    more = _apart(crowds, sets, bodies, links, least, block)
     links = links.unionByName(more.where("sure").select("u", "v"))
     unsure = more.where("NOT sure").select("u", "v")
     return links if unsure.isEmpty() else links.unionByName(decided(unsure))
