@@ -35,6 +35,19 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
 
 
+def _body(parts: Column, files_before: Column, is_file) -> Column:
+    """The parts in order: runs of text are joined before they are escaped, so that neighbours can't form a control string; a placeholder's number
+    counts the attachments of the conversation up to it."""
+    state = F.struct(F.lit("").alias("done"), F.lit("").alias("run"), files_before.cast("long").alias("no"))
+    placeholder = lambda p, no: F.concat(F.lit("<|"), F.replace(escape(p["type"]), F.lit("|>"), F.lit("|\\>")), F.lit(":"), no.cast("string"), F.lit("|>"))
+
+    def add(t: Column, p: Column) -> Column:
+        put = F.struct(F.concat(t["done"], escape(t["run"]), placeholder(p, t["no"] + 1)).alias("done"), F.lit("").alias("run"), (t["no"] + 1).alias("no"))
+        return F.when(is_file(p), put).otherwise(F.struct(t["done"].alias("done"), F.concat(t["run"], F.coalesce(p["text"], F.lit(""))).alias("run"), t["no"].alias("no")))
+
+    return F.aggregate(parts, state, add, lambda t: F.concat(t["done"], escape(t["run"])))
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """One row per conversation: conv_col, formatted, loss_spans (start and end in code points of each assistant body), attachments (no,
     type, ref, tokens, in order), expanded_tokens (sum of the attachments' tokens).
@@ -52,9 +65,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     order = W.partitionBy("conv").orderBy("turn", "role", "parts")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("seq", F.row_number().over(order)).withColumn("files_before", F.coalesce(F.sum(F.size("files")).over(before), F.lit(0)))
-    # A placeholder's number counts the attachments of the conversation up to it.
-    numbered = F.transform("parts", lambda p, i: F.when(is_file(p), F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), (F.col("files_before") + F.size(F.filter(F.slice("parts", 1, i + 1), is_file))).cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))))
-    rows = rows.withColumn("body", F.array_join(numbered, ""))
+    rows = rows.withColumn("body", _body(F.col("parts"), F.col("files_before"), is_file))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
     rows = rows.withColumn("piece", F.concat(head, "body", F.lit(END))).withColumn("head_chars", F.char_length(head)).withColumn("body_chars", F.char_length("body"))
     start = F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)) + F.col("head_chars")
@@ -71,11 +82,28 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]))
 
 
-def read_turns(formatted: Column) -> Column:
-    """array<struct<role, body>> of a formatted conversation, unescaped; placeholders stay in the body as they are."""
+def _fields(formatted: Column) -> Column:
+    """array<struct<role, raw>> of a formatted conversation, as they stand there."""
     pieces = F.slice(F.split(formatted, r"<\|turn\|>"), 2, 1 << 30)
-    field = lambda p, k: unescape(F.regexp_extract(p, r"(?s)^(.*?)<\|body\|>(.*)<\|end\|>$", k))
-    return F.transform(pieces, lambda p: F.struct(field(p, 1).alias("role"), field(p, 2).alias("body")))
+    field = lambda p, k: F.regexp_extract(p, r"(?s)^(.*?)<\|body\|>(.*)<\|end\|>$", k)
+    return F.transform(pieces, lambda p: F.struct(field(p, 1).alias("role"), field(p, 2).alias("raw")))
+
+
+def read_turns(formatted: Column) -> Column:
+    """array<struct<role, body>> of a formatted conversation, unescaped; placeholders stay in the body as they are (read_parts tells them apart
+    from texts that look alike)."""
+    return F.transform(_fields(formatted), lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["raw"]).alias("body")))
+
+
+def read_parts(formatted: Column) -> Column:
+    """array<struct<role, parts>> of a formatted conversation; parts are array<struct<type, text, no>> in order: texts (neighbouring ones joined, empty
+    ones left out), and attachments by their number."""
+    cut = lambda raw: F.regexp_extract_all(raw, F.lit(r"(?s)<\|.*?:\d+\|>|(?:(?!<\|).)++"), F.lit(0))
+    of = lambda x, k: F.regexp_extract(x, r"(?s)^<\|(.*):(\d+)\|>$", k)
+    text = lambda x: F.struct(F.lit("text").alias("type"), unescape(x).alias("text"), F.lit(None).cast("long").alias("no"))
+    file = lambda x: F.struct(unescape(of(x, 1)).alias("type"), F.lit(None).cast("string").alias("text"), of(x, 2).cast("long").alias("no"))
+    part = lambda x: F.when(F.startswith(x, F.lit("<|")), file(x)).otherwise(text(x))
+    return F.transform(_fields(formatted), lambda t: F.struct(unescape(t["role"]).alias("role"), F.transform(cut(t["raw"]), part).alias("parts")))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
