@@ -138,9 +138,11 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str, start: int = 1) -
 
 
 def tag_tests(tx: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """tx with tst: reference transcripts of genes drawn with probability ``fraction``, by a hash of gene and seed."""
-    drawn = F.pmod(F.xxhash64(F.col("gene"), F.lit(seed)), F.lit(1_000_000)) / 1e6 < fraction
-    return tx.withColumn("tst", F.col("ref") & drawn)
+    """tx with tst: reference transcripts of genes drawn with probability ``fraction``, by an MD5 of gene and seed. A null gene is drawn
+    as an empty one."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("gene"))
+    part = F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(1_000_000))
+    return tx.withColumn("tst", F.col("ref") & (part < fraction * 1_000_000))
 
 
 def tag_test_list(tx: DataFrame, genes: DataFrame) -> DataFrame:

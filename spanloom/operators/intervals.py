@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.filters import running
 from spanloom.sources.stages import stage
 
 #: Width of a bin in positions.
@@ -167,48 +168,55 @@ def moved(tx: DataFrame, places: DataFrame) -> DataFrame:
     return shifted.select("tid", "gene", F.col("new_chrom").alias("chrom"), "strand", (F.col("s") + F.col("_d")).alias("s"), (F.col("e") + F.col("_d")).alias("e"), F.transform("exons", lambda x: F.struct((x["s"] + F.col("_d")).alias("s"), (x["e"] + F.col("_d")).alias("e"))).alias("exons"))
 
 
-def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed only."""
-    return F.pmod(F.xxhash64(*(F.col(c) if isinstance(c, str) else c for c in cols), F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
+def drawn(key: Column | str, below: Column, seed: int = 0) -> Column:
+    """A whole number from 0 to below - 1 that depends on key and seed only: the first 60 bits of an MD5, so that any SQL engine draws it too."""
+    text = F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), below)
 
 
-_CELLS = 4096
+#: Entries of a node of the tree that random_intervals looks starts up in.
+FAN = 256
 
 
-def _on_grid(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """df with a row for each of _CELLS equal cells of [0, 1) that [lo, hi) meets: range lookups become equi-joins on _cell."""
-    last = F.least(F.floor(hi * _CELLS), F.lit(_CELLS - 1))
-    return df.withColumn("_cell", F.explode(F.sequence(F.floor(lo * _CELLS).cast("int"), last.cast("int"))))
+def random_intervals(space: DataFrame, lengths: DataFrame, seed: int = 0) -> DataFrame:
+    """(no, chrom, s, e): for each wanted length (no, length), a place in ``space`` (chrom, s, e; regions apart from one another), every start where it
+    fits as likely as any other; nulls for a length that fits nowhere, is null or negative. A row for each row of lengths.
+
+    Nothing is drawn in vain: in the order of falling widths the regions where a length fits come first, so a pass over regions and lengths
+    together gives each length how many they are and how many starts they have. The wanted start is then looked up in a tree over the
+    running sums, with FAN entries a node: a join for each level.
+    """
+    width = (F.col("e") - F.col("s")).cast("long")
+    regions = space.select("chrom", "s", "e", width.alias("_w"), F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_one"), (width + 1).alias("_starts")).where("_w >= 0")
+    none = lambda c: F.lit(None).cast(space.schema[c].dataType).alias(c)
+    wanted = lengths.where("length >= 0").select(*map(none, ("chrom", "s", "e")), F.col("length").cast("long").alias("_w"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_one"), F.lit(0).cast("long").alias("_starts")).distinct()
+    both = regions.unionByName(wanted).withColumn("_down", -F.col("_w"))
+    summed = stage(running(both, [], ["_down", "_kind", "chrom", "s", "e"], {"k": "_one", "c": "_starts"}), "running-starts")
+    # Of a region: regions and starts before it; of a length: the regions where it fits, and their widths.
+    fits = summed.where("_kind = 1").select(F.col("_w").alias("_l"), F.col("k").alias("m"), (F.col("c") - F.col("k") * F.col("_w")).alias("total"))
+    asked = lengths.select("no", F.col("length").cast("long").alias("_l")).join(fits, "_l", "left")
+    placed = asked.where("total > 0").withColumn("r", drawn("no", F.col("total"), seed)).withColumn("at", F.lit(0).cast("long"))
+    nodes = summed.where("_kind = 0").select("k", "c", "chrom", "s")
+    depth, n = 0, nodes.count()
+    while FAN ** (depth + 1) < n:
+        depth += 1
+    for level in range(depth, -1, -1):
+        step = FAN**level
+        entries = nodes.where(F.col("k") % step == 0).groupBy(F.floor(F.col("k") / (step * FAN)).cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct("k", "c", "chrom", "s"))).alias("_entries"))
+        met = placed.join(F.broadcast(entries) if level == depth else entries, "at")
+        last = F.element_at(F.filter("_entries", lambda x: (x["k"] < F.col("m")) & (x["c"] - x["k"] * F.col("_l") <= F.col("r"))), -1)
+        placed = met.withColumn("_hit", last).drop("_entries").withColumn("at", F.floor(F.col("_hit.k") / step).cast("long"))
+    start = F.col("_hit.s") + F.col("r") - (F.col("_hit.c") - F.col("_hit.k") * F.col("_l"))
+    found = placed.select("no", F.col("_hit.chrom").alias("chrom"), start.alias("s"), (start + F.col("_l")).alias("e"))
+    return found.unionByName(asked.where("total IS NULL OR total <= 0").select("no", *map(none, ("chrom", "s", "e"))))
 
 
 def shuffled_places(genes: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """(gene, new_chrom, new_s): a seeded place for each gene (gene, span) on a chromosome, chosen by its share of all positions, in which it fits. sizes has
-    a row per chromosome."""
-    total = W.partitionBy()
-    laid = sizes.withColumn("hi", F.sum("size").over(total.orderBy("chrom")) / F.sum("size").over(total))
-    laid = laid.select(F.col("chrom").alias("new_chrom"), "size", "hi", F.coalesce(F.lag("hi").over(total.orderBy("chrom")), F.lit(0.0)).alias("lo"))
-    drawn = genes.withColumn("_u", unit_hash("gene", seed=seed)).withColumn("_cell", F.floor(F.col("_u") * _CELLS).cast("int"))
-    met = drawn.join(_on_grid(laid, F.col("lo"), F.col("hi")), "_cell").where("_u >= lo AND _u < hi")
-    room = F.greatest(F.col("size") - F.col("span"), F.lit(0))
-    return met.select("gene", "new_chrom", F.floor(unit_hash("gene", seed=seed + 1) * (room + 1)).alias("new_s"))
-
-
-def random_intervals(space: DataFrame, lengths: DataFrame, seed: int = 0, tries: int = 32) -> DataFrame:
-    """(no, chrom, s, e): for each wanted length (no, length), a place in ``space`` (chrom, s, e) drawn by length; draws that don't fit are rejected
-    and redrawn, ``tries`` times at most. The space's cumulative lengths are joined in cells, not scanned per draw."""
-    width = F.col("e") - F.col("s")
-    every = space.agg(F.sum(width)).first()[0] or 1
-    total = W.partitionBy()
-    per = space.groupBy("chrom").agg(F.sum(width).alias("n"))
-    offset = per.select("chrom", F.coalesce(F.sum("n").over(total.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    inner = F.sum(width).over(W.partitionBy("chrom").orderBy("s", "e"))
-    laid = space.withColumn("hi", inner).join(offset, "chrom").withColumn("hi", F.col("hi") + F.col("o")).withColumn("lo", F.col("hi") - width)
-    grid = _on_grid(laid, F.col("lo") / every, (F.col("hi") - 1) / every)
-    draws = lengths.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("_at", F.floor(unit_hash("no", "_try", seed=seed) * every))
-    draws = draws.withColumn("_cell", F.floor(F.col("_at") / every * _CELLS).cast("int"))
-    hits = draws.join(grid, "_cell").where("_at >= lo AND _at < hi").withColumn("_s", F.col("s") + F.col("_at") - F.col("lo")).where(F.col("_s") + F.col("length") <= F.col("e"))
-    best = hits.groupBy("no").agg(F.min(F.struct("_try", "chrom", F.col("_s").alias("s"), (F.col("_s") + F.col("length")).alias("e"))).alias("b"))
-    return best.select("no", "b.chrom", "b.s", "b.e")
+    """(gene, new_chrom, new_s): a seeded place for each gene (gene, span) on a chromosome (chrom, size) in which it fits, every start as likely as
+    any other; nulls where it fits nowhere."""
+    whole = sizes.select("chrom", F.lit(0).cast("long").alias("s"), F.col("size").cast("long").alias("e"))
+    places = random_intervals(whole, genes.select(F.col("gene").alias("no"), F.col("span").alias("length")), seed)
+    return places.select(F.col("no").alias("gene"), F.col("chrom").alias("new_chrom"), F.col("s").alias("new_s"))
 
 
 def to_genome(exon_rows: DataFrame, points: DataFrame) -> DataFrame:

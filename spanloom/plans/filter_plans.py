@@ -279,7 +279,7 @@ def renumbered(v: View) -> DataFrame:
     return fl.renumber(v.tx.select("tid", "gene", "chrom", "s"), "gene", ["chrom", "s", "tid"], "G", "gene_id", 6).select("tid", "gene", "gene_id")
 
 
-@query("f12_tagged_tests")
+@query("f12_tagged_tests", "SELECT tid, gene, ref, ref AND CAST('0x' || substr(md5('11:' || gene), 1, 15) AS BIGINT) % 1000000 < 200000 AS tst FROM tx")
 def tagged_tests(v: View) -> DataFrame:
     return fl.tag_tests(v.tx, 0.2, seed=11).select("tid", "gene", "ref", "tst")
 

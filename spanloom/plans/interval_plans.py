@@ -110,19 +110,38 @@ def moved_genes(v: View) -> DataFrame:
     return iv.moved(v.tx, places).withColumn("exons", spans())
 
 
-@query("iv11_shuffled_genes")
+#: pl: a place for each wanted length (wl: no, l) in the regions (reg: chrom, s, e), drawn with a seed.
+PLACES = """
+ls AS (SELECT DISTINCT l FROM wl),
+cu AS (SELECT l, chrom, s, w - l + 1 AS n, sum(w - l + 1) OVER (PARTITION BY l ORDER BY w DESC, chrom, s, e) AS upto FROM ls JOIN (SELECT *, e - s AS w FROM reg) AS r ON w >= l),
+tt AS (SELECT l, CAST(max(upto) AS BIGINT) AS t FROM cu GROUP BY l),
+dr AS (SELECT no, l, CAST('0x' || substr(md5('{seed}:' || no), 1, 15) AS BIGINT) % t AS r FROM wl JOIN tt USING (l)),
+pl AS (SELECT no, chrom, CAST(s + r - (upto - n) AS BIGINT) AS s, CAST(s + r - (upto - n) + dr.l AS BIGINT) AS e FROM dr ASOF JOIN (SELECT *, upto - n AS before FROM cu) AS c ON dr.l = c.l AND dr.r >= c.before
+  UNION ALL SELECT no, NULL, NULL, NULL FROM wl WHERE l NOT IN (SELECT l FROM tt))"""
+
+
+@query("iv11_shuffled_genes", SIZES_SQL + """,
+wl AS (SELECT gene AS no, max(e) - min(s) AS l FROM tx GROUP BY gene), reg AS (SELECT chrom, 0 AS s, size AS e FROM sz),""" + PLACES.format(seed=7) + """,
+d AS (SELECT gene, min(s) AS g_s FROM tx GROUP BY gene)
+SELECT tid, gene, pl.chrom, strand, min(ex.s) - any_value(g_s) + any_value(pl.s) AS s, max(ex.e) - any_value(g_s) + any_value(pl.s) AS e,
+  string_agg((ex.s - g_s + pl.s) || '-' || (ex.e - g_s + pl.s), ',' ORDER BY ex.s) AS exons
+FROM ex JOIN pl ON pl.no = gene JOIN d USING (gene) GROUP BY tid, gene, pl.chrom, strand""")
 def shuffled_genes(v: View) -> DataFrame:
     genes = v.tx.groupBy("gene").agg((F.max("e") - F.min("s")).alias("span"))
     return iv.moved(v.tx, iv.shuffled_places(genes, v.sizes, seed=7)).withColumn("exons", spans())
 
 
-@query("iv12_random_intervals")
+@query("iv12_random_intervals", MERGED.format(by="chrom", table="ex") + """,
+wl AS (SELECT tid AS no, least(length, 250) AS l FROM tx), reg AS (SELECT chrom, s, e FROM mm),""" + PLACES.format(seed=3) + " SELECT no, chrom, s, e FROM pl")
 def random_intervals(v: View) -> DataFrame:
     lengths = v.tx.select(F.col("tid").alias("no"), F.least(F.col("length"), F.lit(250)).alias("length"))
     return iv.random_intervals(iv.clusters(v.ex, ["chrom"]).select("chrom", "s", "e"), lengths, seed=3)
 
 
-@query("iv13_mappable_windows")
+@query("iv13_mappable_windows", SIZES_SQL + "," + MERGED.format(by="chrom", table="ex") + """,
+wl AS (SELECT tid AS no, 100 AS l FROM tx), reg AS (SELECT chrom, 0 AS s, size AS e FROM sz),""" + PLACES.format(seed=5) + """
+SELECT no, pl.chrom, pl.s, pl.e, sum(least(pl.e, mm.e) - greatest(pl.s, mm.s)) / 100 AS mappable FROM pl JOIN mm ON pl.chrom = mm.chrom AND mm.s < pl.e AND mm.e > pl.s
+GROUP BY no, pl.chrom, pl.s, pl.e HAVING sum(least(pl.e, mm.e) - greatest(pl.s, mm.s)) >= 50""")
 def mappable_windows(v: View) -> DataFrame:
     """Random windows of 100 positions whose track mean (the share of covered positions) is at least a half."""
     from spanloom.operators.joins import overlap_join

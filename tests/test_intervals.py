@@ -1,7 +1,7 @@
 """Binned scans and joins against brute force, with bins far smaller than the intervals, so that everything crosses bins."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +109,36 @@ def test_random_intervals_fit(spark):
     assert 0.75 < sum(r["chrom"] == "b" for r in rows) / 300 < 1
 
 
+def test_random_intervals_are_exact(spark, monkeypatch):
+    """A row for each length, though draws that don't fit would mostly fail; every start as likely as any other; trees of several levels."""
+    regions = [("a", 100 * i, 100 * i + 60) for i in range(300)]
+    space = spark.createDataFrame(regions, "chrom string, s long, e long")
+    wanted = [(i, 59) for i in range(1000)] + [(1000, 70), (1001, None), (1002, -1), (1003, 0), (1003, 0)]
+    for fan in (256, 4):
+        monkeypatch.setattr(iv, "FAN", fan)
+        rows = iv.random_intervals(space, spark.createDataFrame(wanted, "no long, length long"), seed=2).collect()
+        assert len(rows) == 1005 and {r["no"] for r in rows if r["chrom"] is None} == {1000, 1001, 1002}
+        placed = [r for r in rows if r["no"] < 1000]
+        assert all(r["e"] - r["s"] == 59 and r["s"] % 100 in (0, 1) for r in placed)
+        assert 400 < sum(r["s"] % 100 for r in placed) < 600 and len({r["s"] // 100 for r in placed}) > 250
+    one = spark.createDataFrame([("b", 5, 8), ("c", 0, 2)], "chrom string, s long, e long")
+    many = spark.createDataFrame([(i, 2) for i in range(3000)], "no long, length long")
+    counts = Counter((r["chrom"], r["s"]) for r in iv.random_intervals(one, many).collect())
+    assert set(counts) == {("b", 5), ("b", 6), ("c", 0)} and all(850 < n < 1150 for n in counts.values())
+    assert iv.random_intervals(one.where("s > 9"), many.limit(3)).where("chrom IS NULL").count() == 3
+    assert iv.random_intervals(one, many.limit(0)).count() == 0
+
+
+def test_segments_of_dense_bins(spark):
+    """Cuts numbered over many bins, equal and empty spans, many spans under one start."""
+    rnd = random.Random(8)
+    rows = [(i, "ab"[i % 2], s, s + n) for i in range(400) for s, n in [(rnd.choice([0, rnd.randrange(3000)]), rnd.choice([0, 1, 5, 900]))]] + [(900, "a", 0, 900), (901, "a", 0, 900)]
+    df = spark.createDataFrame(rows, "id long, chrom string, s long, e long")
+    got = Counter((r["id"], r["seg_s"], r["seg_e"]) for r in iv.segments(df, ["chrom"], width=64).collect())
+    cuts = {c: sorted({x for _, k, s, e in rows if k == c for x in (s, e)}) for c in "ab"}
+    assert got == Counter((i, a, b) for i, c, s, e in rows for a, b in zip(cuts[c], cuts[c][1:], strict=False) if s <= a and b <= e)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     some = frame(spark, sample(12, 5))
