@@ -10,7 +10,7 @@ from spanloom.operators.annotate import LOCUS, nodes
 from spanloom.operators.components import components
 from spanloom.operators.filters import global_rank, strands_agree
 from spanloom.operators.intervals import introns, islands
-from spanloom.operators.joins import nearest, overlap_join, splicing_patterns
+from spanloom.operators.joins import nearest, overlap_join, shared_introns, splicing_patterns
 from spanloom.sources.stages import stage
 
 # Comparison categories, in the order in which choose_best prefers the last seven.
@@ -224,3 +224,17 @@ def merge_genes(exon_rows: DataFrame) -> DataFrame:
     places = exon_rows.join(label, "tid").groupBy("g").agg(F.min(F.struct("chrom", "s", "e", "strand")).alias("place"))
     named = global_rank(places, ["place", "g"], "no").select("g", F.format_string("source%011d", "no").alias("gene_id"))
     return label.join(named, "g").join(exon_rows.select("tid", "gene").distinct(), "tid").select("tid", "gene_id", "gene")
+
+
+def best_tuples(exon_rows: DataFrame) -> DataFrame:
+    """(tid, ref_id, pattern, introns, overlap): for each transcript that isn't a reference the reference of its strand that it overlaps with the
+    greatest (same splicing pattern, shared introns, shared exonic bases), the smaller id among equals. exon_rows: chrom, strand, tid, ref, s, e."""
+    spans = exon_rows.select("chrom", "strand", "tid", "ref", "s", "e")
+    met = overlap_join(spans.where("NOT ref").drop("ref"), spans.where("ref").drop("ref"), ["chrom", "strand"])
+    shared = met.groupBy("tid", "b_tid").agg(F.sum(F.least("e", "b_e") - F.greatest("s", "b_s")).alias("overlap"))
+    gaps = introns(spans, ["chrom", "tid", "strand", "ref"])
+    both = shared_introns(gaps.where("NOT ref"), gaps.where("ref")).select(F.col("a_tid").alias("tid"), "b_tid", F.col("n").alias("introns"))
+    whole = splicing_patterns(gaps).select("tid", F.concat_ws(" ", "chrom", "strand", "pattern").alias("pattern"))
+    all_pairs = shared.join(both, ["tid", "b_tid"], "left").join(whole.withColumnRenamed("pattern", "_p"), "tid", "left").join(whole.toDF("b_tid", "_q"), "b_tid", "left")
+    rank = F.struct(F.coalesce(F.col("_p") == F.col("_q"), F.lit(False)).alias("pattern"), F.coalesce("introns", F.lit(0)).alias("introns"), "overlap", (-F.col("b_tid")).alias("_least"))
+    return all_pairs.groupBy("tid").agg(F.max_by("b_tid", rank).alias("ref_id"), F.max(rank).alias("_r")).select("tid", "ref_id", "_r.pattern", "_r.introns", "_r.overlap")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.filters import running
+from spanloom.sources.stages import stage
 
 #: Quantiles of the library reports, in percent.
 PERCENTS = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
@@ -34,10 +35,26 @@ def left_ecdf_rank(df: DataFrame, by: str, value: str, out: str = "pct") -> Data
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, percents: Sequence[float] = PERCENTS, prefix: str = "q", where: Column | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per percent; null for an empty group."""
-    picked = F.col(value) if where is None else F.when(where, F.col(value))
-    q = F.percentile(picked, F.array(*(F.lit(p / 100) for p in percents)))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, *(F.try_element_at("_q", F.lit(i + 1)).alias(f"{prefix}{p:g}") for i, p in enumerate(percents)))
+    """Exact quantiles with linear interpolation, one column per percent; null for an empty group; null values don't count. The two data points
+    around each position are picked from distinct values and how many rows lie below, so no task holds a group's values."""
+    by, picked = list(by), F.col(value) if where is None else F.when(where, F.col(value))
+    values = df.select(*by, picked.cast("double").alias("_v")).where("_v IS NOT NULL")
+    held = lambda at: (F.col("_below") <= at) & (at < F.col("_below") + F.col("_n"))
+    aggs = []
+    for i, p in enumerate(percents):
+        at = (F.col("_all") - 1) * F.lit(p / 100)
+        aggs += [F.max(F.when(held(f(at)), F.col("_v"))).alias(f"_{k}{i}") for k, f in (("a", F.floor), ("b", F.ceil))]
+    found = _below(values, by, "_v").groupBy(*by).agg(F.first("_all").alias("_all"), *aggs)
+    keyed = found.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), *(c for c in found.columns if c not in by))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)), F.lit(True))
+    out = df.select(*by).distinct().join(keyed, same, "left")
+
+    def between(i: int, p: float) -> Column:
+        at = (F.col("_all") - 1) * F.lit(p / 100)
+        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return out.select(*by, *(between(i, p).alias(f"{prefix}{p:g}") for i, p in enumerate(percents)))
 
 
 def discrete_quantile(df: DataFrame, by: Sequence[str], value: str, percent: float, side: str = "lower") -> DataFrame:
@@ -57,26 +74,34 @@ def ecdf_band(df: DataFrame, by: str, value: str, alpha: float = 0.05) -> DataFr
 
 
 def step_lookup(points: DataFrame, steps: DataFrame, x: str, y: str, default: float = 0.0, side: str = "right") -> DataFrame:
-    """points with y of the step function steps (x, y): the last step at or before x (right), or strictly before it (left)."""
+    """points with y of the step function steps (x, y): the last step at or before x (right), or strictly before it (left); of steps at one x the
+    one with the greatest y. The default before the first step and where x is null.
+
+    Distinct positions of both tables are cut in ranges and written with their range's number; each range is scanned on its own, and what the
+    ranges before it end with is carried over.
+    """
     first, second = (0, 1) if side == "right" else (1, 0)
-    row = F.struct(*points.columns)
-    both = steps.select(F.col(x).alias("_x"), F.lit(first).alias("_k"), F.col(y).alias("_y"), F.lit(None).cast(points.schema).alias("_p"))
-    both = both.unionByName(points.select(F.col(x).alias("_x"), F.lit(second).alias("_k"), F.lit(None).cast("double").alias("_y"), row.alias("_p")))
-    # Positions are cut in ranges by x; the last step of earlier ranges is carried over.
-    cut = both.withColumn("_bin", F.floor(F.col("_x") / 1e4))
-    carry = cut.groupBy("_bin").agg(F.max(F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))).alias("_c"))
-    carry = carry.select("_bin", F.max("_c").over(W.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
-    near = F.last("_y", ignorenulls=True).over(W.partitionBy("_bin").orderBy("_x", "_k").rowsBetween(W.unboundedPreceding, 0))
-    return cut.withColumn("_v", near).join(carry, "_bin").where("_p IS NOT NULL").select("_p.*", F.coalesce("_v", "_c._y", F.lit(default)).alias(y))
+    edges = steps.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.max(y).cast("double").alias("_y"))
+    asks = points.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x")).distinct()
+    both = edges.select("_x", F.lit(first).alias("_k"), "_y").unionByName(asks.select("_x", F.lit(second).alias("_k"), F.lit(None).cast("double").alias("_y")))
+    ranged = stage(both.repartitionByRange("_x", "_k").withColumn("_part", F.spark_partition_id()), "steps")
+    last = ranged.groupBy("_part").agg(F.max(F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))).alias("_c"))
+    carry = last.select("_part", F.max("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))  # a row a range
+    near = F.last("_y", ignorenulls=True).over(W.partitionBy("_part").orderBy("_x", "_k").rowsBetween(W.unboundedPreceding, 0))
+    found = ranged.withColumn("_v", near).where(F.col("_k") == second).join(F.broadcast(carry), "_part").select("_x", F.coalesce("_v", "_c._y").alias("_v"))
+    met = points.join(found, F.col(x).cast("double") == F.col("_x"), "left")
+    return met.select(*points.columns, F.coalesce("_v", F.lit(default)).alias(y))
 
 
 def library_stats(tx: DataFrame, percents: Sequence[float] = PERCENTS) -> DataFrame:
     """Per library: passed, failed, too_short, too_short_exon, and score quantiles of what failed and passed. tx has too_short and clipped."""
     bad = F.col("too_short")
-    at = F.array(*(F.lit(p / 100) for p in percents))
-    q = lambda w: F.percentile(F.when(w, F.col("score")), at)
-    one = tx.groupBy("lib").agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.count_if(bad).alias("too_short"), F.count_if("clipped").alias("too_short_exon"), q(bad).alias("_f"), q(~bad).alias("_p"))
-    return one.select("lib", "passed", "failed", "too_short", "too_short_exon", *(F.try_element_at(f"_{k[0]}", F.lit(i + 1)).alias(f"{k}_q{p:g}") for k in ("failed", "passed") for i, p in enumerate(percents)))
+    one = tx.groupBy("lib").agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.count_if(bad).alias("too_short"), F.count_if("clipped").alias("too_short_exon"))
+    split = quantiles(tx.withColumn("_bad", bad), ["lib", "_bad"], "score", percents)
+    half = lambda is_bad, k: split.where(F.col("_bad") == is_bad).select(F.col("lib").alias("_lib"), *(F.col(f"q{p:g}").alias(f"{k}_q{p:g}") for p in percents))
+    for is_bad, k in ((True, "failed"), (False, "passed")):
+        one = one.join(half(is_bad, k), F.col("lib").eqNullSafe(F.col("_lib")), "left").drop("_lib")
+    return one
 
 
 def category_stats(tx: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -126,7 +151,7 @@ def fpkm_to_counts(fpkm: Column, length: Column, mass: Column) -> Column:
 
 
 def row_summary(long: DataFrame, row: str, value: str) -> DataFrame:
-    """Mean and quantiles of each row of a long matrix."""
+    """Mean and quantiles of each row of a long matrix; a row has a value per library, so its values fit a buffer."""
     at = F.array(*(F.lit(p / 100) for p in PERCENTS))
     one = long.groupBy(row).agg(F.avg(value).alias("mean"), F.percentile(value, at).alias("_q"))
     return one.select(row, F.round("mean", 4).alias("mean"), *(F.round(F.col("_q")[i], 4).alias(f"p{p:g}") for i, p in enumerate(PERCENTS)))
@@ -182,8 +207,7 @@ def confusion(df: DataFrame, score: str, label: str, cutoffs: int = 1000) -> Dat
 def auc(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
     """(by, auc): Mann-Whitney with average ranks; null where a class is empty. Ranks come from distinct scores and their counts."""
     counts = df.groupBy(by, score).agg(F.count_if(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("_rank", below + (F.col("n") + 1) / 2)
+    ranks = running(counts, [by], [score], {"_below": "n"}).withColumn("_rank", F.col("_below") + (F.col("n") + 1) / 2)
     s = ranks.groupBy(by).agg(F.sum(F.col("_rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(by, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -234,16 +234,17 @@ def both_directions(v: View) -> DataFrame:
 
 
 @query("r5_best_tuple", """
-gp AS (SELECT * FROM (SELECT chrom, tid, strand, ref, e AS s, lead(s) OVER (PARTITION BY tid ORDER BY s) AS e FROM lex) AS i WHERE e IS NOT NULL),
-b2 AS (SELECT a.tid AS t, b.tid AS r, count(*) AS introns FROM gp AS a JOIN gp AS b USING (chrom, strand, s, e) WHERE NOT a.ref AND b.ref GROUP BY 1, 2)
-SELECT t AS tid, max(introns) AS introns FROM b2 GROUP BY t""")
+gp AS (SELECT * FROM (SELECT chrom, tid, strand, ref, e AS s, lead(s) OVER (PARTITION BY tid ORDER BY s) AS e FROM ex) AS i WHERE e IS NOT NULL),
+sh AS (SELECT a.tid AS t, b.tid AS r, count(*) AS introns FROM gp AS a JOIN gp AS b USING (chrom, strand, s, e) WHERE NOT a.ref AND b.ref GROUP BY 1, 2),
+pt AS (SELECT tid, chrom, strand, string_agg(s || '-' || e, ',' ORDER BY s) AS pattern FROM gp GROUP BY ALL),
+ov AS (SELECT a.tid AS t, b.tid AS r, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS overlap FROM ex AS a JOIN ex AS b ON a.chrom = b.chrom AND a.strand = b.strand AND a.s < b.e AND b.s < a.e WHERE NOT a.ref AND b.ref GROUP BY 1, 2),
+al AS (SELECT t, r, coalesce(x.pattern = y.pattern AND x.chrom = y.chrom AND x.strand = y.strand, false) AS pattern, coalesce(introns, 0) AS introns, overlap FROM ov LEFT JOIN sh USING (t, r) LEFT JOIN pt AS x ON x.tid = t LEFT JOIN pt AS y ON y.tid = r)
+SELECT t AS tid, r AS ref_id, pattern, introns, overlap FROM al QUALIFY row_number() OVER (PARTITION BY t ORDER BY pattern DESC, introns DESC, overlap DESC, r) = 1""")
 def best_tuple(v: View) -> DataFrame:
-    """The most introns that each transcript shares with one reference."""
-    from spanloom.operators.intervals import introns
-    from spanloom.operators.joins import shared_introns
+    """Each transcript's best reference on its strand: same splicing pattern, then shared introns, then shared bases, then the smaller id."""
+    from spanloom.operators.compare import best_tuples
 
-    rows = introns(v.ex, ["chrom", "tid", "strand", "ref"])
-    return shared_introns(rows.where("NOT ref"), rows.where("ref")).groupBy(F.col("a_tid").alias("tid")).agg(F.max("n").alias("introns"))
+    return best_tuples(v.ex)
 
 
 def _features(v: View) -> DataFrame:

@@ -148,11 +148,14 @@ def metadata(v: View) -> DataFrame:
     return fm.metadata_table(v.ex)
 
 
-@query("io16_split_fasta")
+@query("io16_split_fasta", "SELECT (row_number() OVER (ORDER BY p_partkey, p_name) - 1) % 3 AS part, CAST(p_partkey AS VARCHAR) AS name, p_name AS seq FROM part")
 def split_fasta(v: View) -> DataFrame:
+    """The records as they are read back from the files that they were dealt to."""
     path = _path(v, "fasta")
-    fm.split_fasta(fm.fasta_records(v.table("part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("seq"))), 3, path)
-    return v.spark.read.option("lineSep", "\n>").text(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n")).select("n")
+    rows = v.table("part").select("p_partkey", F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("seq"))
+    records = fm.fasta_records(rows, keep=["p_partkey", "seq"])
+    fm.split_fasta(records, 3, path, ["p_partkey", "seq"])
+    return fm.read_split_fasta(v.spark, path)
 
 
 @query("io17_tracking", """SELECT CAST(o_orderkey AS VARCHAR) AS tid, o_custkey AS length, CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderkey % 100 AS DOUBLE) / 4 END AS fpkm FROM orders""")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.filters import global_rank
+
 
 def parse_gtf(lines: DataFrame, numbers: Sequence[str] = ()) -> DataFrame:
     """seqid, source, feature_type, s, e, score (0 for .), strand (. for anything but + and -), phase, attrs; attributes named in numbers become columns
@@ -121,14 +123,22 @@ def write_split(df: DataFrame, path: str, key: str) -> None:
     df.withColumn(key, F.coalesce(F.col(key), F.lit("na_missing"))).write.partitionBy(key).mode("overwrite").parquet(path)
 
 
-def fasta_records(df: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
-    """value: two-line records."""
-    return df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value"))
+def fasta_records(df: DataFrame, name: str = "name", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """value: two-line records, after the columns of keep."""
+    return df.select(*keep, F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value"))
+
+
+def split_fasta(records: DataFrame, n: int, path: str, order: Sequence[str]) -> None:
+    """records (value, and the columns of order, which is total) dealt in turn: the k-th to folder part=k % n below path, a file each, in order."""
+    dealt = global_rank(records, order, "_no", 0).withColumn("part", F.col("_no") % n)
+    dealt.repartition(n, "part").sortWithinPartitions("part", "_no").select("value", "part").write.partitionBy("part").mode("overwrite").text(path)
 
 
-def split_fasta(records: DataFrame, n: int, path: str) -> None:
-    """n files of nearly equal record counts, dealt in turn."""
-    records.repartition(n).write.mode("overwrite").text(path)
+def read_split_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(part, name, seq): the two-line records of split_fasta."""
+    lines = spark.read.option("lineSep", "\n>").text(path)
+    value = F.regexp_replace("value", r"^>|\n$", "")
+    return lines.select(F.col("part").cast("long").alias("part"), F.substring_index(value, "\n", 1).alias("name"), F.regexp_extract(value, r"(?s)^[^\n]*\n(.*)$", 1).alias("seq"))
 
 
 def parse_tracking(lines: DataFrame) -> DataFrame:
