@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ship, table
+from spanloom.llm.common import give_back, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A worker forgets its words, or its pairs, when it knows so many.
-CACHED = 200_000
+CACHED = 100_000
 #: Words that are encoded, hashed and decoded at a time, so that a long text's ids never stand in memory as a whole.
 CHUNK = 4096
 _END = 256  # added to the code of a word's last byte
@@ -199,7 +199,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     ship(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from give_back(map(digests_of, batches))
+
+    def digests_of(texts: pd.Series) -> pd.DataFrame:
         enc, rows = encoder(spec.value), []
         for text in texts:
             of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.session import ship
 from spanloom.sources.stages import discard, new_path, stage
 
-__all__ = ["WORD", "bits_for", "discard", "fresh", "key_bits", "may_hold", "new_path", "numbered", "ship", "stage", "table", "word_count"]
+__all__ = ["WORD", "bits_for", "discard", "fresh", "give_back", "key_bits", "may_hold", "new_path", "numbered", "ship", "stage", "table", "word_count"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,3 +65,14 @@ def may_hold(rows: DataFrame, key: Column, filter_rows: DataFrame, bits: int, sm
     met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at))
     met = met.join(F.broadcast(filter_rows) if small else filter_rows, "_bucket")
     return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_bucket", "_at", "_bits")
+
+
+def give_back(results: Iterator) -> Iterator:
+    """The results of a task in a Python worker, after which memory that it has freed goes back to the system: workers live on between tasks,
+    and one that has seen large batches would keep their pages while others need them."""
+    yield from results
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

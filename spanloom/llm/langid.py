@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import fresh, ship, stage, table
+from spanloom.llm.common import fresh, give_back, ship, stage, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Expected number of labelled texts per language that the piece probabilities are fitted on; texts are picked by a hash of their id.
@@ -222,6 +222,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
     @F.pandas_udf("lang string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from give_back(guesses(batches))
+
+    def guesses(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(*sent.value)
         for texts in batches:
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))

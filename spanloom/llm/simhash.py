@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import minhash
 from spanloom.llm.blocks import BLOCK, meetings
-from spanloom.llm.common import bits_for, key_bits, may_hold, ship, stage, table
+from spanloom.llm.common import bits_for, give_back, key_bits, may_hold, ship, stage, table
 from spanloom.operators.components import components
 from spanloom.operators.joins import lookup_join
 
@@ -176,6 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("fp long, node long, n long, keys array<long>, sig binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from give_back(sketches(batches))
+
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in minhash.slices(batches):
             sets = [minhash.shingles(t, shingle) for t in texts]
             out = pd.DataFrame([(minhash.node(s), len(s), *minhash.sketch(s)) for s in sets], columns=["node", "n", "keys", "sig"])
@@ -184,6 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("node long, body array<long>")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from give_back(sets_of(batches))
+
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in minhash.slices(batches):
             sets = [minhash.shingles(t, shingle) for t in texts]
             yield pd.DataFrame({"node": [minhash.node(s) for s in sets], "body": [s.view(np.int64) for s in sets]})
