@@ -178,6 +178,30 @@ def best_window(bases: DataFrame, by: str, pos: str, value: str, width: int) ->
     return bases.withColumn("_m", mean).groupBy(by).agg(F.max("_m").alias("best"))
 
 
+def best_stretch_window(track: DataFrame, by: str, width: int) -> DataFrame:
+    """(by, best): greatest mean over ``width`` consecutive positions that all have a value, for a track of stretches (by, s, e, value; without
+    overlaps, null or NaN where undefined); null where there is none. A row a stretch, however long it is.
+
+    The mean of a sliding window is linear between the places where one of its ends passes a stretch's edge, so the best window begins or
+    ends at an edge. The sum up to its other end is that up to the stretch which holds it, and a part of this stretch.
+    """
+    order = W.partitionBy(by).orderBy("s")
+    held = track.where("value IS NOT NULL AND NOT isnan(value) AND e > s").select(by, "s", "e", F.col("value").cast("double").alias("value"))
+    summed = held.withColumn("_sum", F.sum(F.col("value") * (F.col("e") - F.col("s"))).over(order) - F.col("value") * (F.col("e") - F.col("s")))
+    runs = summed.withColumn("_new", F.coalesce((F.col("s") != F.lag("e").over(order)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
+    whole = W.partitionBy(by, "_run")
+    runs = runs.withColumn("_from", F.min("s").over(whole)).withColumn("_to", F.max("e").over(whole))
+    begin = F.struct((F.col("s") + width).alias("pos"), (-F.col("_sum")).alias("known"), F.lit(1).alias("sign"), (F.col("s") + width <= F.col("_to")).alias("ok"))
+    close = F.struct((F.col("e") - width).alias("pos"), (F.col("_sum") + F.col("value") * (F.col("e") - F.col("s"))).alias("known"), F.lit(-1).alias("sign"), (F.col("e") - width >= F.col("_from")).alias("ok"))
+    asked = runs.select(by, F.explode(F.array(begin, close)).alias("x")).where("x.ok").select(by, "x.pos", F.lit(1).alias("kind"), "x.known", "x.sign", F.lit(None).cast("struct<sum:double,s:bigint,value:double>").alias("at"))
+    edges = runs.select(by, F.col("s").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("known"), F.lit(None).cast("int").alias("sign"), F.struct(F.col("_sum").alias("sum"), F.col("s").cast("long").alias("s"), "value").alias("at"))
+    last = F.last("at", ignorenulls=True).over(W.partitionBy(by).orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0))
+    met = edges.unionByName(asked).withColumn("_at", last).where("kind = 1")
+    mean = (F.col("known") + F.col("sign") * (F.col("_at.sum") + F.col("_at.value") * (F.col("pos") - F.col("_at.s")))) / width
+    best = met.groupBy(by).agg(F.max(mean).alias("best"))
+    return track.select(by).distinct().join(best, by, "left")
+
+
 def histogram_cdf(df: DataFrame, by: str, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(by, bin, n, cdf): values clipped into [low, high]; bins from 0; empty bins are left out."""
     clipped = F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))

@@ -141,6 +141,19 @@ def best_window(v: View) -> DataFrame:
     return st.best_window(b, "l_orderkey", "l_linenumber", "q", 3).select("l_orderkey", F.round("best", 6).alias("best"))
 
 
+@query("a17_best_stretch_window", """
+t AS (SELECT l_orderkey, l_linenumber * 10 AS s, l_linenumber * 10 + CASE WHEN min(l_partkey) % 3 = 0 THEN 7 ELSE 10 END AS e, max(l_quantity) AS v FROM lineitem GROUP BY l_orderkey, l_linenumber),
+b AS (SELECT l_orderkey, unnest(range(s, e)) AS pos, v FROM t),
+w AS (SELECT *, count(*) OVER x AS n, max(pos) OVER x - min(pos) OVER x AS d, avg(v) OVER x AS m FROM b WINDOW x AS (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))
+SELECT l_orderkey, round(max(CASE WHEN n = 15 AND d = 14 THEN m END), 6) AS best FROM w GROUP BY l_orderkey""")
+def best_stretch_window(v: View) -> DataFrame:
+    """Lines as stretches of ten positions, some with a gap behind them."""
+    end = F.col("l_linenumber") * 10 + F.when(F.min("l_partkey") % 3 == 0, 7).otherwise(10)
+    lines = v.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(end.cast("long").alias("e"), F.max("l_quantity").alias("value"))
+    track = lines.select("l_orderkey", (F.col("l_linenumber") * 10).cast("long").alias("s"), "e", "value")
+    return st.best_stretch_window(track, "l_orderkey", 15).select("l_orderkey", F.round("best", 6).alias("best"))
+
+
 @query("a18_histogram", """
 c AS (SELECT event_type, least(greatest(value, 0), 100) AS x FROM events), d AS (SELECT event_type, least(CAST(floor(x / 0.5) AS BIGINT), 199) AS bin, count(*) AS n FROM c GROUP BY ALL)
 SELECT event_type, bin, n, round(sum(n) OVER (PARTITION BY event_type ORDER BY bin) / sum(n) OVER (PARTITION BY event_type), 6) AS cdf FROM d""")

@@ -175,3 +175,20 @@ def test_filters(spark):
         set_attr(attrs, "k", "w").collect()
     pairs = spark.createDataFrame([("+", "+"), ("+", "-"), (".", "-")], "a string, b string")
     assert [r[0] for r in pairs.select(strands_agree(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
+def test_best_stretch_window_equals_bases(spark):
+    from spanloom.operators.stats import best_stretch_window
+
+    rnd, rows = random.Random(6), []
+    for f in range(30):
+        at = rnd.randrange(5)
+        for _ in range(rnd.randint(1, 9)):
+            end = at + rnd.choice([1, 2, 7, 30])
+            rows.append((f, at, end, rnd.choice([None, float("nan"), 1.0, rnd.uniform(-3, 9)])))
+            at = end + rnd.choice([0, 0, 0, 4])
+    got = {r["f"]: r["best"] for r in best_stretch_window(spark.createDataFrame(rows, "f long, s long, e long, value double"), "f", 6).collect()}
+    for f in {r[0] for r in rows}:
+        base = {p: v for g, s, e, v in rows if g == f and v is not None and v == v for p in range(s, e)}
+        means = [sum(base[p + k] for k in range(6)) / 6 for p in base if all(p + k in base for k in range(6))]
+        assert got[f] == (pytest.approx(max(means)) if means else None)
