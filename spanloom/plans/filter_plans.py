@@ -124,6 +124,23 @@ def library_table(v: View) -> DataFrame:
     return fm.read_table(v.spark, path).select("library_id", "sample_id", "gtf_file")
 
 
+@query("io12_library_features", """
+f AS (SELECT lib, sample, tid, 'transcript' AS feature_type, s, e FROM tx UNION ALL SELECT lib, sample, tid, 'exon', s, e FROM ex)
+SELECT lib AS library_id, sample AS sample_id, CAST(tid AS VARCHAR) AS transcript_id, feature_type, s, e, false AS corrupt FROM f
+UNION ALL SELECT DISTINCT lib, NULL, 'no line of nine fields', NULL, NULL, NULL, true FROM tx""")
+def library_features(v: View) -> DataFrame:
+    """A set of files, one folder a library with a line in it that can't be read, found by the library table's paths."""
+    path = _path(v, "gtf-set")
+    lines = fm.gtf_lines(v.tx, keep=["lib"])
+    broken = v.tx.select("lib").distinct().withColumn("value", F.lit("no line of nine fields"))
+    lines.unionByName(broken).write.partitionBy("lib").text(path)
+    table = v.tx.select(F.col("lib").alias("library_id"), F.col("sample").alias("sample_id"), F.concat(F.lit(f"{path}/lib="), "lib").alias("gtf_file")).distinct()
+    features, bad = fm.read_libraries(v.spark, table)
+    features = features.select("library_id", "sample_id", F.col("attrs")["transcript_id"].alias("transcript_id"), "feature_type", "s", "e", F.lit(False).alias("corrupt"))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    return features.unionByName(bad.select("library_id", none("string", "sample_id"), F.col("value").alias("transcript_id"), none("string", "feature_type"), none("long", "s"), none("long", "e"), F.lit(True).alias("corrupt")))
+
+
 def _path(v: View, name: str) -> str:
     """A fresh folder beside the staged tables."""
     return stage(v.spark.range(1), name).inputFiles()[0].rsplit("/", 1)[0] + "-out"

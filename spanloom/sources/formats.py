@@ -15,29 +15,64 @@ from pyspark.sql import functions as F
 from spanloom.operators.filters import global_rank
 
 
-def parse_gtf(lines: DataFrame, numbers: Sequence[str] = ()) -> DataFrame:
+def parse_gtf(lines: DataFrame, numbers: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """seqid, source, feature_type, s, e, score (0 for .), strand (. for anything but + and -), phase, attrs; attributes named in numbers become columns
-    of doubles. Blank lines and comments are skipped."""
+    of doubles. Blank lines and comments are skipped; columns of keep come along."""
     f = F.split("value", "\t")
     rows = lines.where("trim(value) <> '' AND NOT value LIKE '#%'")
     pairs = F.transform(F.regexp_extract_all(f[8], F.lit(r'(\S+ "[^"]*")'), F.lit(1)), lambda p: F.struct(F.substring_index(p, " ", 1), F.regexp_extract(p, '"([^"]*)"', 1)))
     unique = F.map_from_arrays(F.transform(pairs, lambda p: p["col1"]), F.transform(pairs, lambda p: p["col2"]))
     strand = F.when(f[6].isin("+", "-"), f[6]).otherwise(".")
-    out = rows.select(f[0].alias("seqid"), f[1].alias("source"), f[2].alias("feature_type"), (f[3].cast("long") - 1).alias("s"), f[4].cast("long").alias("e"), F.when(f[5] == ".", 0.0).otherwise(f[5].try_cast("double")).alias("score"), strand.alias("strand"), f[7].alias("phase"), unique.alias("attrs"))
+    out = rows.select(*keep, f[0].alias("seqid"), f[1].alias("source"), f[2].alias("feature_type"), (f[3].cast("long") - 1).alias("s"), f[4].cast("long").alias("e"), F.when(f[5] == ".", 0.0).otherwise(f[5].try_cast("double")).alias("score"), strand.alias("strand"), f[7].alias("phase"), unique.alias("attrs"))
     return out.select("*", *(F.col("attrs")[k].try_cast("double").alias(k) for k in numbers))
 
 
+def _corrupt(value: Column) -> Column:
+    """Whether a line isn't nine fields with a start of 1 or more and an end at or behind it."""
+    f = F.split(value, "\t")
+    start, end = F.get(f, 3).try_cast("long"), F.get(f, 4).try_cast("long")
+    return ~F.coalesce((F.size(f) == 9) & (start >= 1) & (end >= start), F.lit(False))
+
+
+def read_libraries(spark: SparkSession, libraries: DataFrame, numbers: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """libraries (library_id, sample_id, gtf_file: a file, or a folder of files) -> the features of all their files, with library_id and sample_id; and
+    the lines that can't be read: library_id, file, value.
+
+    The paths of the table, a row a library, are listed by the driver; files are read by Spark in splits, from any store that it reads. A
+    missing file is an error; a table without rows gives no features; a null gtf_file is left out.
+    """
+    listed = libraries.where("gtf_file IS NOT NULL").select("library_id", "sample_id", "gtf_file").collect()
+    hadoop = spark._jsc.hadoopConfiguration()
+
+    def whole(path: str) -> str:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(hadoop).makeQualified(at).toUri().toString()
+
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")
+    text = spark.read.text(sorted({r["gtf_file"] for r in listed})) if listed else spark.createDataFrame([], "value string")
+    file = F.col("_metadata.file_path") if listed else F.lit("")
+    table = spark.createDataFrame([(whole(r["gtf_file"]), r["library_id"], r["sample_id"]) for r in listed], "_at string, library_id string, sample_id string").withColumn("_at", plain("_at"))
+    lines = text.where("trim(value) <> '' AND NOT value LIKE '#%'").select("value", plain(file).alias("file")).withColumn("_at", F.col("file"))
+    folder = F.regexp_replace("file", r"/[^/]*$", "")
+    # A row a library: Spark broadcasts the table where it is small.
+    named = lines.join(table, "_at").unionByName(lines.withColumn("_at", folder).join(table, "_at"))
+    good = named.where(~_corrupt(F.col("value")))
+    features = parse_gtf(good, numbers, keep=["library_id", "sample_id"])
+    return features, named.where(_corrupt(F.col("value"))).select("library_id", "file", "value")
+
+
 def gtf_line(seqid: Column, source: Column, kind: Column, s: Column, e: Column, score: Column, strand: Column, attrs: Sequence[tuple[str, Column]]) -> Column:
     tail = F.concat_ws(" ", *(F.concat(F.lit(f'{k} "'), v.cast("string"), F.lit('";')) for k, v in attrs))
     return F.concat_ws("\t", seqid, source, kind, (s + 1).cast("string"), e.cast("string"), score.cast("string"), strand, F.lit("."), tail)
 
 
-def gtf_lines(tx: DataFrame, source: str = "spanloom", first_exon: int = 1) -> DataFrame:
-    """value: a transcript line and its exon lines for each row of tx (tid, gene, chrom, strand, score, s, e, exons), exons numbered from first_exon."""
+def gtf_lines(tx: DataFrame, source: str = "spanloom", first_exon: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """value: a transcript line and its exon lines for each row of tx (tid, gene, chrom, strand, score, s, e, exons), exons numbered from first_exon;
+    before it the columns of keep."""
     base = [("gene_id", F.col("gene")), ("transcript_id", F.col("tid"))]
     head = gtf_line(F.col("chrom"), F.lit(source), F.lit("transcript"), F.col("s"), F.col("e"), F.col("score"), F.col("strand"), base)
     exon = F.transform("exons", lambda x, i: gtf_line(F.col("chrom"), F.lit(source), F.lit("exon"), x["s"], x["e"], F.col("score"), F.col("strand"), [*base, ("exon_number", i + first_exon)]))
-    return tx.select(F.explode(F.concat(F.array(head), exon)).alias("value"))
+    return tx.select(*keep, F.explode(F.concat(F.array(head), exon)).alias("value"))
 
 
 def sort_gtf(rows: DataFrame) -> DataFrame:
