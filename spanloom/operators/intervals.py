@@ -67,12 +67,6 @@ def boundaries(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.select(*by, F.explode(F.array("s", "e")).alias("pos")).distinct()
 
 
-def elementary(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, s, e): the segments between neighbouring boundaries, covered or not. ``by`` must be local (a locus), not a chromosome."""
-    ahead = F.lead("pos").over(W.partitionBy(*by).orderBy("pos"))
-    return boundaries(df, by).select(*by, F.col("pos").alias("s"), ahead.alias("e")).where("e IS NOT NULL")
-
-
 def numbered_cuts(df: DataFrame, by: Sequence[str], width: int = BIN) -> DataFrame:
     """(by, pos, cut, ahead): distinct boundaries numbered by position within ``by``, each with the next one. Bins are scanned on their own; the
     number of boundaries before a bin and the first one behind it come from a table with a row per bin."""
