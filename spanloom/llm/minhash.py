@@ -29,7 +29,7 @@ MARGIN = 0.15
 #: Shingles up to which a set comes along to where a crowd is compared; pairs of larger ones are decided on afterwards.
 ALONG = 512
 #: Buckets in which the shingles of open crowds are counted, for an order from rare to common.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Elements of a matrix of values by hash functions.
 _CELLS = 1 << 20
 _rng = np.random.default_rng(42)
@@ -163,9 +163,9 @@ def _prefixes(bodies: DataFrame, least: float) -> DataFrame:
     that shingles of many sets come last.
     """
     bucket = F.explode(F.transform("body", lambda x: x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
-    found = bodies.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c")).toPandas()
+    found = bodies.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c")).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
-    counts[found["b"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+    counts[found["b"].to_numpy()] = found["c"].to_numpy()
     shared = bodies.sparkSession.sparkContext.broadcast(counts)
 
     @F.pandas_udf("array<struct<token:long,mid:boolean>>")
