@@ -68,7 +68,8 @@ class DigestIndex:
         found = digests.limit(0)
         for run in (r for level in self.levels for r in level):
             likely = may_hold(digests, F.col("digest"), run.filter_rows, run.bits, small=run.bits < MOST_BITS)
-            found = found.unionByName(likely.join(run.entries.select("digest"), "digest", "left_semi"))
+            # An inner join (a run holds a digest once): a semi join would be moved below the filter's join.
+            found = found.unionByName(likely.join(run.entries.select("digest"), "digest"))
         return found.distinct()
 
     def flush(self, signatures: DataFrame) -> DataFrame:

@@ -194,6 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [minhash.shingles(t, shingle) for t in texts]
             yield pd.DataFrame({"node": [minhash.node(s) for s in sets], "body": [s.view(np.int64) for s in sets]})
 
+    # Else a filter on what it returns (not null) would be moved below the joins, and sets be made of all texts.
+    whole = whole.asNondeterministic()
+
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stage(texts.select("id", sketch("text").alias("k")).select("id", "k.*"), "sketches")
     firsts = [F.first(c).alias(c) for c in ("n", "keys", "sig")]
@@ -211,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits = bits_for(wanted.count())
         # Few texts are wanted: the filter keeps the others out of the shuffle.
         likely = may_hold(texts, F.col("id"), key_bits(wanted, "w", bits), bits)
-        read = likely.join(wanted, F.col("id").eqNullSafe(F.col("w")), "left_semi").select(whole("text").alias("k")).select("k.*")
+        # An inner join: a semi join would be moved below the filter's join, and all texts be shuffled.
+        read = likely.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select(whole("text").alias("k")).select("k.*")
         return read.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
 
     links = minhash.similar_links(reps.select("node", "n", "keys", "sig"), bodies, least, proposed=proposed)
