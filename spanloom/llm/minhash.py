@@ -237,14 +237,18 @@ def similar_links(sets: DataFrame, bodies: Callable[[DataFrame], DataFrame], lea
         body = stage(bodies(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "shingle-sets")
         of = lambda end, name: body.select(F.col("node").alias(end), F.col("body").alias(name))
         whole = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v")
-        return stage(whole.where(similarity >= least - 1e-9).select("u", "v"), "similar-links")
+        linked = stage(whole.where(similarity >= least - 1e-9).select("u", "v"), "similar-links")
+        discard(pairs, body)
+        return linked
 
     links = decided(found)
     discard(by_key)
     crowds = met.where(F.col("m") > crowd).select("key", "node", "n")
     if crowds.isEmpty():
+        discard(met)
         return links
     more = _apart(crowds, sets, bodies, links, least, block)
+    discard(met)
     links = links.unionByName(more.where("sure").select("u", "v"))
     unsure = more.where("NOT sure").select("u", "v")
     return links if unsure.isEmpty() else links.unionByName(decided(unsure))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import minhash
 from spanloom.llm.blocks import BLOCK, meetings
-from spanloom.llm.common import bits_for, give_back, key_bits, may_hold, ship, stage, table
+from spanloom.llm.common import bits_for, discard, give_back, key_bits, may_hold, ship, stage, table
 from spanloom.operators.components import components
 from spanloom.operators.joins import lookup_join
 
@@ -201,6 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = stage(texts.select("id", sketch("text").alias("k")).select("id", "k.*"), "sketches")
     firsts = [F.first(c).alias(c) for c in ("n", "keys", "sig")]
     reps = stage(marked.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), *firsts), "sketch-reps")
+    # The wide table goes: from here on only these columns of it are read.
+    wide, marked = marked, stage(marked.select("id", "fp", "node"), "nodes")
+    discard(wide)
     # What the trees propose, told by sets: a fingerprint stands for the least of its sets, and is proposed to the others.
     by_fp = stage(marked.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "set-of-fingerprint")
     near = near_links(by_fp.select("fp"), radius)
@@ -209,8 +212,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = marked.join(by_fp.where("first <> last"), "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     proposed = proposed.unionByName(mixed).where("u <> v")
 
+    held = []
+
     def bodies(nodes: DataFrame) -> DataFrame:
         wanted = stage(reps.join(nodes, "node").select(F.col("rep").alias("w")).distinct(), "wanted")
+        held.append(wanted)
         bits = bits_for(wanted.count())
         # Few texts are wanted: the filter keeps the others out of the shuffle.
         likely = may_hold(texts, F.col("id"), key_bits(wanted, "w", bits), bits)
@@ -219,7 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return read.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
 
     links = minhash.similar_links(reps.select("node", "n", "keys", "sig"), bodies, least, proposed=proposed)
-    known = _classes(marked.select("id", "fp", "node"), "node", reps.select("node", "rep", "m"), links)
+    known = _classes(marked, "node", reps.select("node", "rep", "m"), links)
+    discard(*held, by_fp, reps)  # _classes has written what it took from reps; the result reads the nodes and the classes
     return known.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
