@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import digests
-from spanloom.llm.common import fresh, numbered, stage, table
+from spanloom.llm.common import bits_for, fresh, key_bits, may_hold, numbered, stage, table
 from spanloom.llm.exact_dedup import exact_groups
 from spanloom.llm.langid import fit, held_out, predict
 from spanloom.llm.mixing import mix
@@ -32,7 +32,14 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _one_of_each(docs: DataFrame, no: str, groups: DataFrame, kept: Column) -> DataFrame:
     """docs without its number; of the groups' rows (no, ...) those that are kept."""
     gone = groups.where(~kept).select(F.col("_id")[no].alias(no))
-    return docs.join(gone, no, "left_anti").drop(no)
+    gone = stage(gone, "gone")
+    # Most texts needn't be shuffled: a filter of what goes tells them.
+    bits = bits_for(gone.count())
+    rows = docs.select(F.col(no).alias("_key"), F.struct("*").alias("_row"))
+    doubt = may_hold(rows, F.col("_key"), key_bits(gone, no, bits), bits)
+    sure = may_hold(rows, F.col("_key"), key_bits(gone, no, bits), bits, wanted=False)
+    left = doubt.join(gone, F.col("_key") == F.col(no), "left_anti").unionByName(sure)
+    return left.select("_row.*").drop(no)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,13 +58,15 @@ def key_bits(keys: DataFrame, key: str, bits: int) -> DataFrame:
     return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
 
 
-def may_hold(rows: DataFrame, key: Column, filter_rows: DataFrame, bits: int, small: bool = True) -> DataFrame:
-    """Rows whose key may be in the filter; small: broadcast it (MOST_BITS / 8 bytes at most)."""
+def may_hold(rows: DataFrame, key: Column, filter_rows: DataFrame, bits: int, small: bool = True, wanted: bool = True) -> DataFrame:
+    """Rows whose key may be in the filter, or with wanted=False all other rows; small: broadcast it (MOST_BITS / 8 bytes at most). Null keys
+    count as any other."""
     at = _bit(key, bits)
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at))
-    met = met.join(F.broadcast(filter_rows) if small else filter_rows, "_bucket")
-    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).drop("_bucket", "_at", "_bits")
+    met = met.join(F.broadcast(filter_rows) if small else filter_rows, "_bucket", "inner" if wanted else "left")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return met.where(held if wanted else ~F.coalesce(held, F.lit(False))).drop("_bucket", "_at", "_bits")
 
 
 def give_back(results: Iterator) -> Iterator:
