@@ -1,6 +1,6 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing, tokens. Each stage's result is written and read as the next one's input.
 
-Stages keep or drop rows, not identifiers: where rows are compared, each has a number of its own within the stage, so rows that share a
+Stages keep or drop rows, not identifiers: where rows are compared, each is known by its place in the stage's input, so rows that share a
 doc_id, or have none, are judged one by one. All columns are kept as they are, whatever their names.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import digests
-from spanloom.llm.common import bits_for, fresh, key_bits, may_hold, numbered, stage, table
+from spanloom.llm.common import bits_for, fresh, identified, key_bits, may_hold, stage, table
 from spanloom.llm.exact_dedup import exact_groups
 from spanloom.llm.langid import fit, held_out, predict
 from spanloom.llm.mixing import mix
@@ -30,7 +30,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _one_of_each(docs: DataFrame, no: str, groups: DataFrame, kept: Column) -> DataFrame:
-    """docs without its number; of the groups' rows (no, ...) those that are kept."""
+    """docs without its row identifiers; of the groups' rows (no, ...) those that are kept."""
     gone = groups.where(~kept).select(F.col("_id")[no].alias(no))
     gone = stage(gone, "gone")
     # Most texts needn't be shuffled: a filter of what goes tells them.
@@ -46,7 +46,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One row of each text (null counts as empty): that with the largest doc_id, any identifier before none; of rows that share both,
     one stays. An empty table stays empty."""
     no = fresh(docs, "_no")
-    docs = numbered(docs, no)
+    docs = identified(docs, no)
     rows = docs.select(F.struct("doc_id", no).alias("_id"), "text")
     return _one_of_each(docs, no, exact_groups(rows, id_col="_id", keep="max"), F.col("kept"))
 
@@ -56,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     before none, of rows that share it that whose text has the smallest hash. Null texts and texts without words are one group. An empty
     table stays empty."""
     no = fresh(docs, "_no")
-    docs = numbered(docs, no)
+    docs = identified(docs, no)
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("tie"), no).alias("_id"), "text")
     groups = near_duplicates(rows, id_col="_id", shingle=SHINGLE, least=SIMILARITY)
     return _one_of_each(docs, no, groups, F.col("_id") == F.col("component_id"))
@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes its words: taken / size, rounded to whole rows (0, 1 or 2). Null and wordless texts are taken 0
     times; a null source is a source of its own; rows that share a doc_id are mixed row by row. An empty table stays empty."""
     no, copy = fresh(docs, "_no"), fresh(docs, "_copy")
-    docs = numbered(docs, no)
+    docs = identified(docs, no)
     taken = mix(docs, keep=[no]).where("size > 0").select(no, F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
     met = docs.join(taken.where(F.col(copy) > 0), no)
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(no, copy)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.session import ship
 from spanloom.sources.stages import discard, new_path, stage
 
-__all__ = ["WORD", "bits_for", "discard", "fresh", "give_back", "key_bits", "may_hold", "new_path", "numbered", "ship", "stage", "table", "word_count"]
+__all__ = ["WORD", "bits_for", "discard", "fresh", "give_back", "identified", "key_bits", "may_hold", "new_path", "ship", "stage", "table", "word_count"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,9 +32,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df written with a number for each row in the column name, so that rows are told apart whatever their identifiers are."""
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+def identified(df: DataFrame, name: str) -> DataFrame:
+    """df with a binary in the column name that tells its rows apart, whatever their identifiers are, and is the same at every read. A table
+    read from Parquet files gives each row's place: the MD5 of the file's path, and the row's number in it. Other tables are written once
+    with numbers."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet" and plan.relation().location().rootPaths().size() == 1:
+        file = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.unhex(F.concat(F.md5(file["file_path"]), F.lpad(F.hex(file["row_index"]), 16, "0"))))
+    return stage(df.withColumn(name, F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))), "numbered")
 
 
 def word_count(text: Column) -> Column:
