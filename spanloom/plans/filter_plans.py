@@ -107,7 +107,7 @@ nd AS (SELECT chrom, locus, strand, tid, score, a AS s, z AS e FROM lex JOIN c U
 def bedgraph(v: View) -> DataFrame:
     from spanloom.operators.assemble import splice_nodes
 
-    return fm.bedgraph_lines(splice_nodes(v.lex), "+")
+    return fm.bedgraph_lines(splice_nodes(v.loci[1]), "+")
 
 
 @query("io11_sort_bed", "SELECT chrom, s, row_number() OVER (ORDER BY chrom, s, tid) AS pos FROM tx")

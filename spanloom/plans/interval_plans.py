@@ -36,7 +36,7 @@ seg AS MATERIALIZED (SELECT lex.*, seg_s, seg_e FROM lex JOIN c USING (chrom, lo
 
 @query("iv4_segments", SEGMENTS + " SELECT tid, s, e, seg_s, seg_e FROM seg")
 def segments(v: View) -> DataFrame:
-    return iv.segments(v.lex, ["chrom", "locus"]).select("tid", "s", "e", "seg_s", "seg_e")
+    return iv.segments(v.loci[1], ["chrom", "locus"]).select("tid", "s", "e", "seg_s", "seg_e")
 
 
 MERGED = """

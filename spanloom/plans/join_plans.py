@@ -103,7 +103,7 @@ FROM seg AS a JOIN seg AS r USING (chrom, locus, seg_s, seg_e) WHERE NOT a.ref A
 def shared_nodes(v: View) -> DataFrame:
     from spanloom.operators.annotate import nodes
 
-    seg = nodes(v.lex.select("chrom", "locus", "tid", "strand", "ref", "s", "e"))
+    seg = nodes(v.loci[1].select("chrom", "locus", "tid", "strand", "ref", "s", "e"))
     a = seg.where("NOT ref").drop("ref")
     r = seg.where("ref").select("chrom", "locus", "s", "e", F.col("tid").alias("ref_id"), F.col("strand").alias("r_strand"))
     return a.join(r, ["chrom", "locus", "s", "e"]).groupBy("tid", "ref_id", (F.col("strand") == F.col("r_strand")).alias("same")).agg(F.sum(F.col("e") - F.col("s")).alias("bases"))

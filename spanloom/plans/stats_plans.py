@@ -20,7 +20,7 @@ def node_scores(v: View) -> DataFrame:
     from spanloom.operators.annotate import node_scores as scores
     from spanloom.operators.annotate import nodes
 
-    return scores(nodes(v.lex)).select("chrom", "locus", "strand", "s", "e", "score")
+    return scores(nodes(v.loci[1])).select("chrom", "locus", "strand", "s", "e", "score")
 
 
 @query("a3_percentile_rank", "SELECT tid, lib, round(100.0 * (rank() OVER (PARTITION BY lib ORDER BY score) - 1) / count(*) OVER (PARTITION BY lib), 6)::DOUBLE AS pct FROM tx")
