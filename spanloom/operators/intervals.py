@@ -201,6 +201,8 @@ def random_intervals(space: DataFrame, lengths: DataFrame, seed: int = 0) -> Dat
     together gives each length how many they are and how many starts they have. The wanted start is then looked up in a tree over the
     running sums, with FAN entries a node: a join for each level.
     """
+    # Ranges are sampled before they are filled, and lengths are read again: both tables are written first.
+    space, lengths = stage(space.select("chrom", "s", "e"), "space"), stage(lengths.select("no", "length"), "lengths")
     width = (F.col("e") - F.col("s")).cast("long")
     regions = space.select("chrom", "s", "e", width.alias("_w"), F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_one"), (width + 1).alias("_starts")).where("_w >= 0")
     none = lambda c: F.lit(None).cast(space.schema[c].dataType).alias(c)
@@ -212,13 +214,15 @@ def random_intervals(space: DataFrame, lengths: DataFrame, seed: int = 0) -> Dat
     asked = lengths.select("no", F.col("length").cast("long").alias("_l")).join(fits, "_l", "left")
     placed = asked.where("total > 0").withColumn("r", drawn("no", F.col("total"), seed)).withColumn("at", F.lit(0).cast("long"))
     nodes = summed.where("_kind = 0").select("k", "c", "chrom", "s")
+    parts = int(space.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     depth, n = 0, nodes.count()
     while FAN ** (depth + 1) < n:
         depth += 1
     for level in range(depth, -1, -1):
         step = FAN**level
         entries = nodes.where(F.col("k") % step == 0).groupBy(F.floor(F.col("k") / (step * FAN)).cast("long").alias("at")).agg(F.array_sort(F.collect_list(F.struct("k", "c", "chrom", "s"))).alias("_entries"))
-        met = placed.join(F.broadcast(entries) if level == depth else entries, "at")
+        # The number is given, as a look-up costs more than its row weighs: rows aren't to be put together in fewer tasks.
+        met = placed.repartition(parts, "no").join(F.broadcast(entries), "at") if level == depth else placed.repartition(parts, "at").join(entries.repartition(parts, "at"), "at")
         # The entries that qualify come first, and the first one does: their last is found by halves.
         ok = lambda x: (x["k"] < F.col("m")) & (x["c"] - x["k"] * F.col("_l") <= F.col("r"))
         halves = F.array(*(F.lit(FAN >> i) for i in range(1, FAN.bit_length())))

@@ -26,3 +26,12 @@ def test_shuffled_rows_per_line(spark, name, most):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     n = shuffled(spark, lambda: entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save())
     assert 0 < n < most * lines
+
+
+def test_places_are_found_by_halves(spark):
+    from spanloom.operators.intervals import random_intervals
+
+    space = spark.createDataFrame([("c", 0, 50), ("c", 60, 90)], "chrom string, s long, e long")
+    places = random_intervals(space, spark.range(20).selectExpr("id AS no", "id AS length"))
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(_entries" not in plan and "RepartitionByExpression [no" in plan
