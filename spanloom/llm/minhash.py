@@ -28,6 +28,9 @@ BANDS, ROWS, CROWD = 25, 5, 2
 MARGIN = 0.15
 #: Shingles up to which a set comes along to where a crowd is compared; pairs of larger ones are decided on afterwards.
 ALONG = 512
+#: Leaves, those with mid and others, that a set which may meet one that doesn't come along has with it, to tell whether the two meet under an
+#: earlier one.
+HEADS = 32
 #: Buckets in which the shingles of open crowds are counted, for an order from rare to common.
 BUCKETS = 1 << 18
 #: Elements of a matrix of values by hash functions.
@@ -87,7 +90,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     """Of each block the residents, then those that ask: links between different components whose sets reach the similarity (sure). Those
     that a link joins are one component from then on, so a block gives fewer links than it holds components. Pairs with a set that
-    doesn't come along are given where sizes and least values allow the similarity (not sure)."""
+    doesn't come along are given where sizes and least values allow the similarity (not sure), but not where their heads show that they
+    are under an earlier leaf, too: similar sets share hundreds of leaves."""
     block, homes = None, None
     for batch in batches:
         out: list[tuple[int, int, bool]] = []
@@ -99,7 +103,7 @@ def _alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFra
                 homes = own if homes is None else homes.plus(own)
             elif homes is not None:
                 for at in range(0, len(rows), 64):
-                    out += _links(own.part(at, at + 64), homes, joined, least)
+                    out += _links(own.part(at, at + 64), homes, joined, least, leaf)
         yield pd.DataFrame(dict(zip("uv", ([o[k] for o in out] for k in (0, 1)), strict=True)), dtype="int64").assign(sure=np.array([o[2] for o in out], bool))
 
 
@@ -110,6 +114,7 @@ class _Members:
         self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
         self.n, self.node, self.label, self.mid = (rows[c].to_numpy() for c in ("n", "node", "label", "mid"))
         self.body, self.sets = list(rows["body"]), [None] * len(rows)
+        self.heads, self.others = list(rows["heads"]), list(rows["others"])
 
     def _with(self, change: Callable[[str], object]) -> _Members:
         other = object.__new__(_Members)
@@ -128,6 +133,17 @@ class _Members:
             self.sets[k] = frozenset(np.asarray(self.body[k]).tolist())
         return self.sets[k]
 
+    def leaves(self, k: int, mid: bool) -> set[int]:
+        """Of a row's least leaves those with mid, or all."""
+        if self.heads[k] is None:
+            return set()
+        return set(self.heads[k].tolist()) if mid else {*self.heads[k].tolist(), *self.others[k].tolist()}
+
+
+def _met_before(a: _Members, k: int, b: _Members, j: int, leaf: int) -> bool:
+    """Whether two rows are sure to meet under an earlier leaf: one that both have, the smaller set (of equal ones both) with mid."""
+    return min(a.leaves(k, a.n[k] <= b.n[j]) & b.leaves(j, b.n[j] <= a.n[k]), default=leaf) < leaf
+
 
 def _root(joined: dict[int, int], label: int) -> int:
     while (up := joined.get(label, label)) != label:
@@ -135,7 +151,7 @@ def _root(joined: dict[int, int], label: int) -> int:
     return label
 
 
-def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float) -> list[tuple[int, int, bool]]:
+def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float, leaf: int) -> list[tuple[int, int, bool]]:
     ok = (rows.sig[:, None] == homes.sig[None]).mean(axis=2) >= least - MARGIN
     small, large = np.minimum.outer(rows.n, homes.n), np.maximum.outer(rows.n, homes.n)
     ok &= (small >= least * large - 1e-9) & (rows.label[:, None] != homes.label[None])
@@ -152,6 +168,8 @@ def _links(rows: _Members, homes: _Members, joined: dict[int, int], least: float
             if common < least * (len(a) + len(b) - common) - 1e-9:
                 continue
             joined[max(here, there)] = min(here, there)
+        elif _met_before(rows, r, homes, c, leaf):
+            continue
         out.append((int(rows.node[r]), int(homes.node[c]), sure))
     return out
 
@@ -202,8 +220,11 @@ def _apart(crowds: DataFrame, sets: DataFrame, bodies: Callable[[DataFrame], Dat
     stray = (F.col("label") != F.col("most.label")).alias("stray")
     rest = stage(tokens.join(main, "token").select(F.col("token").alias("leaf"), "node", "n", "label", "mid", stray), "open-crowds")
     along = sets.select("node", "sig").join(rest.select("node").distinct(), "node").join(body.where(F.size("body") <= ALONG), "node", "left")
+    least_of = lambda when: F.slice(F.array_sort(F.collect_list(F.when(when, F.col("leaf")))), 1, HEADS)
+    heads = rest.where(F.col("n") > least * ALONG - 1).groupBy("node").agg(least_of(F.col("mid")).alias("heads"), least_of(~F.col("mid")).alias("others"))
+    along = along.join(heads, "node", "left")
     rest = stage(rest.join(along, "node"), "open-sets")
-    fields = ["leaf", "node", "n", "label", "mid", "sig", "body"]
+    fields = ["leaf", "node", "n", "label", "mid", "sig", "body", "heads", "others"]
     laid = meetings(rest.where("stray").select(*fields), rest.select(*fields), block, own="node", inside=False)
     found = stage(laid.mapInPandas(lambda batches: _alike(batches, least), "u long, v long, sure boolean").distinct(), "crowd-links")
     discard(labelled, open_sets, body, tokens, rest)

@@ -86,6 +86,34 @@ def test_a_crowd_of_many_groups(spark, block, along, monkeypatch):
         assert len(pairs) < 3 * len(each)
 
 
+def test_pairs_of_long_sets_are_given_about_once(spark, monkeypatch):
+    """Texts too long to come along are almost similar in pairs and share hundreds of rare shingles: a pair isn't given under each of them."""
+    monkeypatch.setattr(minhash, "ALONG", 100)
+    rng = random.Random(9)
+    texts = []
+    for g in range(12):
+        own = [f"w{k}" for k in range(500)] + [f"g{g}x{k}" for k in range(300)]
+        for _ in range(4):
+            copy = list(own)
+            for at in rng.sample(range(500, 800), 14):
+                copy[at] = f"c{rng.random()}"
+            texts.append(" ".join(copy))
+    given, alike = [spark.sparkContext.accumulator(0) for _ in range(2)], minhash._alike
+
+    def counted(batches, least):
+        for out in alike(batches, least):
+            given[0].add(len(out))
+            given[1].add(int(out["sure"].sum()))
+            yield out
+
+    monkeypatch.setattr(minhash, "_alike", counted)
+    by, pairs = links_of(spark, texts, crowd=2)
+    each = list(by.items())
+    want = [(a, b) for i, (a, x) in enumerate(each) for b, y in each[:i] if minhash.jaccard(x, y) >= 0.8]
+    assert union(by, pairs) == union(by, want)
+    assert 0 < given[0].value < 4 * len(each) and not given[1].value
+
+
 def test_odd_identifiers(spark):
     twice = spark.createDataFrame([(1, "a b c d"), (1, "x y z"), (5, "x y z"), (None, "x y z")], "doc_id long, text string")
     assert [r["component_id"] for r in rows(simhash.near_duplicates(twice, shingle=5, least=0.8))] == [1] * 4
